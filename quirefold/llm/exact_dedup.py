@@ -5,8 +5,8 @@ binary-fuse filter per bucket. An incoming batch is first grouped by digest on i
 reach the snapshot twice), then each distinct digest is screened by the filter of its bucket. Negatives are new for
 certain; positives join the exact bucket, and the texts of everything that looks equal are compared byte for byte.
 
-Only digests, ids and counts are shuffled; texts move solely for candidates of the byte check, after a map-side
-combine, so a group of copies of any size shuffles one text per task.
+Ids and counts travel with digests. Texts move once, for the byte check, after a map-side combine: a group of copies of
+any size shuffles one text per task.
 
 Defined cases: a null text counts as empty; empty texts equal one another; a repeated doc_id is a row like any other;
 an empty batch or snapshot gives no rows from its side; further columns are ignored. Two different texts with one
@@ -158,9 +158,9 @@ class Snapshot:
 def byte_check(docs: DataFrame, suspects: DataFrame) -> DataFrame:
     """Compare the texts of all rows whose digest is in ``suspects``: ``digest, equal``; stops on a collision."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest")).join(suspects.select("digest"), "digest")
-    seen = rows.groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b"))
-    return seen.select("digest", F.when(F.col("a") == F.col("b"), True).otherwise(F.raise_error(F.lit("two texts share a SHA-256 digest")).cast("boolean")).alias("equal"))
+    texts = docs.select(text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest")).groupBy("digest", "text").agg(F.count("*").alias("n"))
+    seen = texts.groupBy("digest").agg(F.count("*").alias("texts")).join(suspects.select("digest"), "digest", "left_semi")
+    return seen.select("digest", F.when(F.col("texts") == 1, True).otherwise(F.raise_error(F.lit("two texts share a SHA-256 digest")).cast("boolean")).alias("equal"))
 
 
 def dedup_batch(snapshot: Snapshot, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
