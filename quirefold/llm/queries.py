@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirefold.llm import exact_dedup, sharding
+from quirefold.llm import bpe, exact_dedup, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_sharding": sharding.op2_sharding,
+        "op4_bpe": bpe.op4_bpe,
     }
 
 
