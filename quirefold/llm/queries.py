@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirefold.llm import bpe, exact_dedup, sharding
+from quirefold.llm import bpe, exact_dedup, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_sharding": sharding.op2_sharding,
         "op4_bpe": bpe.op4_bpe,
+        "op7_toxicity": toxicity.op7_toxicity,
     }
 
 
