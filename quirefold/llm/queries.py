@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirefold.llm import bpe, decontaminate, exact_dedup, sharding, toxicity
+from quirefold.llm import bpe, decontaminate, exact_dedup, jaccard_join, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sharding": sharding.op2_sharding,
         "op4_bpe": bpe.op4_bpe,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
