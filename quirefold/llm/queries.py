@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirefold.llm import bpe, decontaminate, exact_dedup, jaccard_join, sharding, toxicity
+from quirefold.llm import bpe, decontaminate, exact_dedup, jaccard_join, sharding, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_sharding": sharding.op2_sharding,
         "op4_bpe": bpe.op4_bpe,
+        "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op7_toxicity": toxicity.op7_toxicity,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_decontaminate": decontaminate.op10_decontaminate,
@@ -21,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op10_decontaminate": decontaminate.OP10_SQL}
+    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op5_substring_dedup": substring_dedup.OP5_SQL, "op10_decontaminate": decontaminate.OP10_SQL}
