@@ -51,13 +51,18 @@ def discard(*tables: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def lower_ascii(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
+def without(docs: DataFrame, verdicts: DataFrame, kept: str) -> DataFrame:
+    """The rows of ``docs`` but those whose doc_id has verdicts and none with ``kept``.
+
+    Rows are addressed by doc_id: one whose rows disagree stays, and so do rows without an id. The join is a merge at
+    every size, so that what is dropped is never held in memory as a whole.
+    """
+    gone = verdicts.where("doc_id is not null").groupBy("doc_id").agg(F.max(kept).alias("any_kept")).where("not any_kept").select("doc_id")
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti")
 
 
-def row_key(*texts: str) -> Column:
-    """A key of rows with equal values: repeated rows share it, and share their result."""
-    return F.xxhash64(*texts)
+def lower_ascii(text: Column) -> Column:
+    return F.translate(text, UPPER, LOWER)
 
 
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:

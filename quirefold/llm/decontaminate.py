@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import lower_ascii, materialize
+from quirefold.llm.common import lower_ascii, materialize, without
 from quirefold.tables import table
 
 WIDTH = 8
@@ -123,8 +123,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> Data
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated."""
-    bad = decontaminate(docs, items).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    return without(docs, decontaminate(docs, items).select("doc_id", (~F.col("contaminated")).alias("kept")), "kept")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

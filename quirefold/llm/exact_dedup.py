@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import materialize
+from quirefold.llm.common import materialize, without
 from quirefold.tables import table
 
 #: Digests that one filter is meant to hold; the number of buckets follows from it.
@@ -202,8 +202,7 @@ def exact_dedup(docs: DataFrame, arrived=None) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without exact copies: of equal texts the one with the largest doc_id stays."""
-    kept = exact_dedup(docs).where("kept").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi")
+    return without(docs, exact_dedup(docs), "kept")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

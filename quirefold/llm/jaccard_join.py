@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.llm import shingles
-from quirefold.llm.common import components, materialize
+from quirefold.llm.common import components, materialize, without
 from quirefold.tables import table
 
 WIDTH = 5
@@ -267,8 +267,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` of which one of each component stays: the one with the smallest doc_id."""
-    kept = jaccard_join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return without(docs, jaccard_join(docs).select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("kept")), "kept")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
