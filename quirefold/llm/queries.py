@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirefold.llm import bpe, decontaminate, exact_dedup, jaccard_join, quality, sharding, substring_dedup, toxicity
+from quirefold.llm import bpe, decontaminate, exact_dedup, html_extract, jaccard_join, quality, sharding, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_sharding": sharding.op2_sharding,
+        "op3_html_extract": html_extract.op3_html_extract,
         "op4_bpe": bpe.op4_bpe,
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op7_toxicity": toxicity.op7_toxicity,
