@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirefold.llm import bpe, decontaminate, exact_dedup, html_extract, jaccard_join, quality, sharding, substring_dedup, toxicity
+from quirefold.llm import bpe, decontaminate, exact_dedup, html_extract, jaccard_join, quality, sharding, substring_dedup, token_file, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_html_extract": html_extract.op3_html_extract,
         "op4_bpe": bpe.op4_bpe,
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+        "op6_token_file": token_file.op6_token_file,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_quality": quality.op8_quality,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
