@@ -2,24 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quirefold.plans import queries as _q
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = "chain_missing"
 
-from quirefold.tables import table
 
-FLAGSHIP = "pages_by_lang"
-
-
-def _pages_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"pages_by_lang": _pages_by_lang}
+def queries() -> dict[str, _q.Query]:
+    return dict(_q.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"pages_by_lang": "SELECT lang, count(*) AS n FROM documents GROUP BY lang"}
+    return dict(_q.SQL)
