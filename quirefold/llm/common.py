@@ -73,6 +73,7 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     neighbours is combined map-side. Nodes without edges are absent. Self-loops are ignored.
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    sums = None
     for _ in range(max_rounds):
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         hub = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -81,9 +82,9 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         # small star: u and its neighbours below u go to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         nxt = materialize(large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct(), "edges")
-        sums = [d.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first() for d in (now, nxt)]
+        before, sums = sums, nxt.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         discard(now)
         now = nxt
-        if sums[0] == sums[1]:
+        if before == sums:
             break
     return now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")

@@ -9,9 +9,9 @@ is the one of least cost, from the histogram of set sizes.
 "Rarest" means: shingles that repeat within a partition's distinct sets are counted, the counts are added up, and the
 heaviest ``HEAVY`` of them go last; the order decides how long the lists are, never what is found.
 
-No list is paired with itself. Each set is compared with one hub of its lists first; then sets are compared with the
-hubs of other components of their lists; in the end only pairs of a list that are in different components after that,
-and that pass the size and position filters, are compared. Every comparison is exact, on whole texts. What is returned
+No list is paired with itself. Each set is compared with one hub of its lists first, the set that is in most lists; then
+with the hub of the largest component of its lists; in the end only pairs of a list that are in different components
+after that, and that pass the filters on sizes, positions and distances to a common hub, are compared. Every comparison is exact, on whole texts. What is returned
 is the component of each document: links inside a component need not be listed.
 
 Defined cases: null and empty texts have no shingles, no links, and are their own component; fewer than five words are
@@ -41,10 +41,9 @@ WIDTH = 5
 #: Similarity 75/100.
 NUM, DEN = 75, 100
 #: Heaviest shingles that are known to all tasks: at most 12 bytes each.
-HEAVY, HEAVY_HERE = 1 << 19, 4
+HEAVY, HEAVY_HERE = 1 << 21, 2
 #: A posted shingle may have to be compared; an enumerated subset rarely has.
 LIST_COST, LARGEST_SMALL = 8, 16
-STAR_ROUNDS = 4
 
 
 def least_overlap(n: int) -> int:
@@ -92,8 +91,7 @@ def _first_pass(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held = 0
     for rows in frames:
         n, ids = [], []
-        for text in rows["text"]:
-            s = shingles.shingle_set(text, WIDTH)
+        for s in shingles.shingle_sets(list(rows["text"]), WIDTH):
             n.append(len(s))
             ids.append(i := set_id(s))
             if len(s) and i not in seen:
@@ -114,8 +112,7 @@ def _posting_pass(heavy, small: int):
         for rows in frames:
             out: list[tuple[np.ndarray, int, int, np.ndarray]] = []
             total = 0
-            for text in rows["text"]:
-                s = shingles.shingle_set(text, WIDTH)
+            for s in shingles.shingle_sets(list(rows["text"]), WIDTH):
                 n = len(s)
                 if n == 0 or (i := set_id(s)) in seen:
                     continue
@@ -127,7 +124,7 @@ def _posting_pass(heavy, small: int):
                     p = posted(n)
                     if len(names):
                         at = np.minimum(np.searchsorted(names, s), len(names) - 1)
-                        weight = np.where(names[at] == s, weights[at], 0)
+                        weight = np.where(names[at] == s, weights[at], 0)  # by powers of four
                         first = s[np.lexsort((s, weight))[:p]]
                     else:
                         first = s[:p]
@@ -149,22 +146,25 @@ def _posting_frame(out: list) -> pd.DataFrame:
 
 def _compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     unpack = zstandard.ZstdDecompressor()
+    sets = lambda packed: shingles.shingle_sets([unpack.decompress(p).decode() for p in packed], WIDTH)
     for rows in frames:
-        last, sets = None, None
-        linked = []
-        for a, x, y in zip(rows["a"], rows["text_a"], rows["text_b"]):
-            if a != last:
-                last, sets = a, shingles.shingle_set(unpack.decompress(x).decode(), WIDTH)
-            other = shingles.shingle_set(unpack.decompress(y).decode(), WIDTH)
-            both = len(np.intersect1d(sets, other, assume_unique=True))
-            linked.append(DEN * both >= NUM * (len(sets) + len(other) - both))
-        yield rows[["a", "b"]].assign(linked=linked)
+        for k in range(0, len(rows), 1000):
+            part = rows.iloc[k : k + 1000]
+            own = dict(zip(part["a"], part["text_a"]))
+            left = dict(zip(own, sets(own.values())))
+            linked, apart = [], []
+            for a, other in zip(part["a"], sets(part["text_b"])):
+                both = len(np.intersect1d(left[a], other, assume_unique=True))
+                union = len(left[a]) + len(other) - both
+                linked.append(DEN * both >= NUM * union)
+                apart.append(1 - both / union)
+            yield part[["a", "b"]].assign(linked=linked, apart=apart)
 
 
 def _pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     pack = zstandard.ZstdCompressor(level=1)
     for rows in frames:
-        own = np.array([set_id(shingles.shingle_set(t, WIDTH)) for t in rows["text"]], np.int64) == rows["sid"].to_numpy()
+        own = np.array([set_id(s) for s in shingles.shingle_sets(list(rows["text"]), WIDTH)], np.int64) == rows["sid"].to_numpy()
         rows = rows[own]
         yield pd.DataFrame({"sid": rows["sid"], "packed": [pack.compress((t or "").encode()) for t in rows["text"]]})
 
@@ -187,29 +187,45 @@ class Join:
         heavy = both.where("heavy is not null").groupBy("heavy").agg(F.sum("weight").alias("weight")).orderBy(F.desc("weight"), "heavy").limit(HEAVY).toPandas()
         names = heavy["heavy"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(names)
-        sent = spark.sparkContext.broadcast((names[order], heavy["weight"].to_numpy(np.int64)[order]))
+        sent = spark.sparkContext.broadcast((names[order], np.log2(heavy["weight"].to_numpy(float)[order] + 1).astype(np.int8) // 2))
         # one row for each size
         sizes = Counter({r["n"]: r["c"] for r in self.sets.where("n > 0").where(F.col("n") <= 4 * LARGEST_SMALL).groupBy("n").agg(F.count_distinct("sid").alias("c")).collect()})
         self.small = boundary(sizes)
-        rows = self.docs.mapInPandas(_posting_pass(sent, self.small), "key long, sid long, n int, pos int")
-        lists = rows.groupBy("key").agg(F.min("sid").alias("hub"), F.max("sid").alias("top")).where("hub < top").select("key", "hub")
-        self.lists = materialize(rows.join(lists, "key").distinct(), "lists")
-        need = self.lists.select("sid").distinct()
+        # dealt by key once, for the count and for the join
+        rows = self.docs.mapInPandas(_posting_pass(sent, self.small), "key long, sid long, n int, pos int").repartition("key")
+        shared = rows.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("key")
+        self.lists = materialize(rows.join(shared, "key").dropDuplicates(["key", "sid"]), "lists")
+        # sets in many shared lists lie in the middle of their neighbours
+        self.degrees = materialize(self.lists.groupBy("sid").agg(F.count("*").alias("lists")), "degrees")
+        need = self.degrees.select("sid")
         one = self.sets.groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(need, "sid")
         self.texts = materialize(self.docs.join(one.hint("merge"), "doc_id").select("sid", "text").mapInPandas(_pack, "sid long, packed binary").dropDuplicates(["sid"]), "texts")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
-        """``a, b, linked`` of pairs of set ids."""
+        """``a, b, linked, apart`` (1 - similarity) of pairs of set ids."""
         a = self.texts.select(F.col("sid").alias("a"), F.col("packed").alias("text_a"))
         b = self.texts.select(F.col("sid").alias("b"), F.col("packed").alias("text_b"))
-        return materialize(pairs.select("a", "b").join(b, "b").join(a, "a").mapInPandas(_compare, "a long, b long, linked boolean"), "verified")
+        return materialize(pairs.select("a", "b").join(b, "b").join(a, "a").mapInPandas(_compare, "a long, b long, linked boolean, apart double"), "verified")
+
+    def hubs(self, lists: DataFrame, by: list[str]) -> DataFrame:
+        """The set of each group of list entries that is in most lists."""
+        entry = F.struct("lists", "sid", "n", "pos")
+        return lists.join(self.degrees, "sid").groupBy(*by).agg(F.max(entry).alias("h"), F.count("*").alias("c"))
+
+    @staticmethod
+    def best(met: DataFrame) -> DataFrame:
+        """``sid, hub``: the hub that a set shares most lists with."""
+        shared = met.groupBy("sid", "hub").agg(F.count("*").alias("c"))
+        return shared.groupBy("sid").agg(F.max(F.struct("c", "hub")).alias("m")).select("sid", F.col("m.hub").alias("hub"))
+
+    @staticmethod
+    def pairs(best: DataFrame) -> DataFrame:
+        return best.select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")).distinct()
 
     def hub_pairs(self) -> DataFrame:
-        """Each set with the hub that it shares most lists with."""
-        sizes = self.lists.select(F.col("sid").alias("hub"), F.col("n").alias("hub_n")).distinct()
-        met = self.lists.where("sid <> hub").groupBy("sid", "n", "hub").agg(F.count("*").alias("c")).join(sizes, "hub")
-        best = met.where(F.least("n", "hub_n") * DEN >= F.greatest("n", "hub_n") * NUM).groupBy("sid").agg(F.max(F.struct("c", "hub")).alias("m"))
-        return best.select(F.least("sid", "m.hub").alias("a"), F.greatest("sid", "m.hub").alias("b")).distinct()
+        met = self.lists.join(self.hubs(self.lists, ["key"]), "key").where(F.col("sid") != F.col("h.sid"))
+        met = met.where(_possible(F.col("n"), F.col("h.n"), F.col("pos"), F.col("h.pos")))
+        return materialize(self.best(met.select("sid", F.col("h.sid").alias("hub"))), "hubs")
 
     def open_lists(self, parts: DataFrame) -> DataFrame:
         """Lists whose sets are in more than one component, with the components."""
@@ -217,40 +233,42 @@ class Join:
         mixed = labelled.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
         return materialize(labelled.join(mixed, "key"), "open")
 
-    @staticmethod
-    def star_pairs(open_lists: DataFrame, turn: int) -> DataFrame:
-        """Sets against one member of the largest component of each of their lists, if that is another one."""
-        own = open_lists.groupBy("key", "part").agg(F.count("*").alias("c"), F.min_by(F.struct("sid", "n", "pos"), F.xxhash64("sid", F.lit(turn))).alias("h"))
-        top = own.groupBy("key").agg(F.max(F.struct("c", "part", "h")).alias("t")).select("key", F.col("t.part").alias("top"), F.col("t.h").alias("h"))
+    def star_pairs(self, open_lists: DataFrame) -> DataFrame:
+        """Sets against the hub of the largest component of each of their lists, if that is another one."""
+        top = self.hubs(open_lists, ["key", "part"]).groupBy("key").agg(F.max(F.struct("c", "part", "h")).alias("t")).select("key", F.col("t.part").alias("top"), F.col("t.h").alias("h"))
         met = open_lists.join(top, "key").where(F.col("part") != F.col("top"))
         met = met.where(_possible(F.col("n"), F.col("h.n"), F.col("pos"), F.col("h.pos")))
-        best = met.groupBy("sid", F.col("h.sid").alias("hub")).agg(F.count("*").alias("c")).groupBy("sid").agg(F.max(F.struct("c", "hub")).alias("m"))
-        return best.select(F.least("sid", "m.hub").alias("a"), F.greatest("sid", "m.hub").alias("b")).distinct()
+        return self.best(met.select("sid", F.col("h.sid").alias("hub")))
 
     @staticmethod
-    def cross_pairs(open_lists: DataFrame) -> DataFrame:
-        """What is left: sets of a list in different components that the filters let through."""
-        x = open_lists.select("key", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("part").alias("ca"))
-        y = open_lists.select("key", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("part").alias("cb"))
-        met = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _possible(F.col("na"), F.col("nb"), F.col("pa"), F.col("pb")))
-        return met.select("a", "b").distinct()
+    def cross_pairs(open_lists: DataFrame, seen: DataFrame) -> DataFrame:
+        """What is left: sets of a list in different components that the filters let through.
+
+        ``seen(sid, hub, apart)``: distances to a common hub exclude pairs by the triangle inequality, which holds for
+        the distance 1 - similarity.
+        """
+        known = open_lists.join(seen, "sid", "left")
+        x, y = (known.select("key", *(F.col(c).alias(f"{k}_{c}") for c in ("sid", "n", "pos", "part", "hub", "apart"))) for k in "ab")
+        c = lambda name: (F.col(f"a_{name}"), F.col(f"b_{name}"))
+        (a, b), (na, nb), (pa, pb), (ca, cb), (ha, hb), (da, db) = (c(n) for n in ("sid", "n", "pos", "part", "hub", "apart"))
+        excluded = F.coalesce((ha == hb) & (F.abs(da - db) > 1 - NUM / DEN + 1e-9), F.lit(False))
+        met = x.join(y, "key").where((a < b) & (ca != cb) & ~excluded & _possible(na, nb, pa, pb))
+        return met.select(a.alias("a"), b.alias("b")).distinct()
 
     def run(self) -> DataFrame:
         """``node, component`` over set ids that link with another set."""
-        done = self.verify(self.hub_pairs())
-        for turn in range(STAR_ROUNDS + 1):
-            links = done.where("linked").select("a", "b")
-            parts = materialize(components(links), "parts")
-            left = self.open_lists(parts)
-            pairs = self.star_pairs(left, turn) if turn < STAR_ROUNDS else self.cross_pairs(left)
-            fresh = self.verify(materialize(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), "pairs"))
-            if turn < STAR_ROUNDS and fresh.where("linked").isEmpty():
-                done = materialize(done.unionByName(fresh), "done")
-                fresh = self.verify(materialize(self.cross_pairs(left).join(done.select("a", "b"), ["a", "b"], "left_anti"), "pairs"))
-                turn = STAR_ROUNDS
-            done = materialize(done.unionByName(fresh), "done")
-            if turn == STAR_ROUNDS:
-                break
+        first = self.hub_pairs()
+        done = self.verify(self.pairs(first))
+        left = self.open_lists(components(done.where("linked").select("a", "b")))
+        star = self.pairs(self.star_pairs(left)).join(done.select("a", "b"), ["a", "b"], "left_anti")
+        done = materialize(done.unionByName(self.verify(star)), "done")
+        left = self.open_lists(components(done.where("linked").select("a", "b")))
+        both = done.select("a", "b", "apart")
+        seen = first.join(both.withColumnsRenamed({"a": "sid", "b": "hub"}).unionByName(both.select(F.col("b").alias("sid"), F.col("a").alias("hub"), "apart")), ["sid", "hub"])
+        itself = first.select(F.col("hub").alias("sid"), "hub", F.lit(0.0).alias("apart")).distinct()
+        seen = materialize(seen.unionByName(itself).groupBy("sid").agg(F.min(F.struct("apart", "hub")).alias("m")).select("sid", "m.hub", "m.apart"), "seen")
+        cross = self.cross_pairs(left, seen).join(done.select("a", "b"), ["a", "b"], "left_anti")
+        done = done.unionByName(self.verify(materialize(cross, "pairs")))
         return components(done.where("linked").select("a", "b"))
 
 

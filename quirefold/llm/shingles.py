@@ -1,22 +1,36 @@
-"""Words of the raw-text contracts as 64-bit hashes, and windows over them."""
+"""Words of the raw-text contracts as 64-bit hashes, and windows over them, for many texts at once."""
 
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
-KNOWN_WORDS = 500_000
+#: Bytes of text that are hashed at once.
+SLICE = 2 << 20
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+def mix(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+        return h ^ (h >> np.uint64(33))
+
 
+_GOLDEN = 0x9E3779B97F4A7C15
+_VALUE = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_BASE, _INVERSE = 0x2545F4914F6CDD1D, pow(0x2545F4914F6CDD1D, -1, 1 << 64)
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-_words = _Words()
+
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64."""
+    if len(_powers[0]) < n:
+        size = max(n, SLICE + 1)
+        for k, base in enumerate((_BASE, _INVERSE)):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.cumprod(steps)
+    return _powers[0], _powers[1]
 
 
 def split(text: str | None, lower: bool) -> list[bytes]:
@@ -25,15 +39,37 @@ def split(text: str | None, lower: bool) -> list[bytes]:
     return (raw.lower() if lower else raw).split()
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-
-
-def mix(h: np.ndarray) -> np.ndarray:
+def _hash_slice(raw: list[bytes]) -> list[np.ndarray]:
+    """The hash of each word of each text: a polynomial over its bytes, by differences of running sums."""
+    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+    up, down = _power(len(data))
+    space = _SPACE[data]
+    turn = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        turn = np.concatenate(([0], turn))
+    starts, ends = turn[0::2], turn[1::2]
     with np.errstate(over="ignore"):
-        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-        return h ^ (h >> np.uint64(33))
+        sums = np.cumsum(_VALUE[data] * up[: len(data)])
+        before = np.where(starts > 0, sums[starts - 1], np.uint64(0))
+        h = (sums[ends - 1] - before) * down[starts]
+        h = mix(h ^ ((ends - starts).astype(np.uint64) * np.uint64(_GOLDEN)))
+    limits = np.cumsum([len(r) + 1 for r in raw])[:-1]
+    return np.split(h, np.searchsorted(starts, limits))
+
+
+def hash_texts(texts: list[str | None], lower: bool) -> list[np.ndarray]:
+    """The word hashes of each text."""
+    out: list[np.ndarray] = []
+    raw: list[bytes] = []
+    held = 0
+    for text in texts:
+        r = (text or "").encode("utf-8", "surrogatepass")
+        raw.append(r.lower() if lower else r)
+        held += len(r)
+        if held >= SLICE:
+            out += _hash_slice(raw)
+            raw, held = [], 0
+    return out + (_hash_slice(raw) if raw else [])
 
 
 def windows(hashes: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
@@ -43,13 +79,20 @@ def windows(hashes: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
         return np.zeros(0, np.uint64)
     out = np.full(n, width + 1000 * salt, np.uint64)
     with np.errstate(over="ignore"):
-        base = hashes if not salt else mix(hashes ^ np.uint64(0x9E3779B97F4A7C15 * salt & 0xFFFFFFFFFFFFFFFF))
+        base = hashes if not salt else mix(hashes ^ np.uint64(_GOLDEN * salt & 0xFFFFFFFFFFFFFFFF))
         for k in range(width):
-            out = out * np.uint64(0x9E3779B97F4A7C15) + base[k : k + n]
+            out = out * np.uint64(_GOLDEN) + base[k : k + n]
     return mix(out)
 
 
+def shingle_sets(texts: list[str | None], width: int = 5) -> list[np.ndarray]:
+    """The sorted distinct shingles of each text; with fewer words than ``width`` the whole sequence is the only one."""
+    out = []
+    for h in hash_texts(texts, lower=True):
+        s = np.sort(windows(h, min(width, len(h)))) if len(h) else h
+        out.append(s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) else s)
+    return out
+
+
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
-    """The sorted distinct shingles of a text; with fewer words than ``width`` the whole sequence is the only one."""
-    h = word_hashes(split(text, lower=True))
-    return np.unique(windows(h, min(width, len(h)))) if len(h) else np.zeros(0, np.uint64)
+    return shingle_sets([text], width)[0]

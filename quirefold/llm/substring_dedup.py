@@ -68,11 +68,11 @@ def _first_level(width: int):
         seen: set[int] = set()
         for rows in frames:
             out: list[tuple[np.ndarray, int, np.ndarray]] = []
-            for k, text in zip(rows["k"].tolist(), rows["text"]):
+            for k, h in zip(rows["k"].tolist(), shingles.hash_texts(list(rows["text"]), lower=False)):
                 if k in seen:
                     continue
                 seen.add(k)
-                first, at = chosen(shingles.word_hashes(shingles.split(text, lower=False)), width)
+                first, at = chosen(h, width)
                 at = np.unique(at)
                 if len(at):
                     out.append((first[at].view(np.int64), k, at.astype(np.int32)))
@@ -87,8 +87,8 @@ def _candidates(width: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = zstandard.ZstdDecompressor()
         for rows in frames:
-            for k, did, packed, places in zip(rows["k"], rows["did"], rows["packed"], rows["places"]):
-                h = shingles.word_hashes(shingles.split(unpack.decompress(packed).decode(), lower=False))
+            hashed = shingles.hash_texts([unpack.decompress(p).decode() for p in rows["packed"]], lower=False)
+            for k, did, h, places in zip(rows["k"], rows["did"], hashed, rows["places"]):
                 _, at = chosen(h, width)
                 hit = np.flatnonzero(np.isin(at, places))
                 yield pd.DataFrame({"w1": shingles.windows(h, width)[hit].view(np.int64), "w2": shingles.windows(h, width, salt=1)[hit].view(np.int64), "did": np.full(len(hit), did), "k": np.full(len(hit), k), "pos": hit.astype(np.int32)})
