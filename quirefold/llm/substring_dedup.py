@@ -32,6 +32,7 @@ from quirefold.tables import table
 
 WIDTH = 13
 LAST = (1 << 63) - 1
+LEVEL = "w1 long, w2 long, did long, rid long, pos int"
 
 
 def half(width: int) -> int:
@@ -88,10 +89,10 @@ def _candidates(width: int):
         unpack = zstandard.ZstdDecompressor()
         for rows in frames:
             hashed = shingles.hash_texts([unpack.decompress(p).decode() for p in rows["packed"]], lower=False)
-            for k, did, h, places in zip(rows["k"], rows["did"], hashed, rows["places"]):
+            for rid, did, h, places in zip(rows["rid"], rows["did"], hashed, rows["places"]):
                 _, at = chosen(h, width)
                 hit = np.flatnonzero(np.isin(at, places))
-                yield pd.DataFrame({"w1": shingles.windows(h, width)[hit].view(np.int64), "w2": shingles.windows(h, width, salt=1)[hit].view(np.int64), "did": np.full(len(hit), did), "k": np.full(len(hit), k), "pos": hit.astype(np.int32)})
+                yield pd.DataFrame({"w1": shingles.windows(h, width)[hit].view(np.int64), "w2": shingles.windows(h, width, salt=1)[hit].view(np.int64), "did": np.full(len(hit), did), "rid": np.full(len(hit), rid), "pos": hit.astype(np.int32)})
 
     return run
 
@@ -145,21 +146,21 @@ class Repeats:
         base = rows_of(docs)
         self.rows = materialize(base.mapInPandas(_whole, "doc_id long, did long, k long, n_words long, whole string"), "rows")
         self.classes = self.rows.groupBy("k").agg(F.min("did").alias("first_id"))
-        thin = base.select("k", "text").mapInPandas(_first_level(width), "h long, k long, pos int")
+        thin = base.select("k", "text").mapInPandas(_first_level(width), "h long, k long, pos int").repartition("h")  # dealt once, for the count and for the join
         repeated = thin.groupBy("h").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("h")
         places = thin.join(repeated, "h").groupBy("k").agg(F.collect_set("pos").alias("places"))
         places = materialize(places.join(self.classes, "k").withColumnRenamed("first_id", "did"), "places")
         texts = base.select("k", "did", "text").join(places.hint("merge"), ["k", "did"]).select("k", "did", "places", "text")
-        self.texts = materialize(texts.mapInPandas(_pack, "k long, did long, places array<int>, packed binary").dropDuplicates(["k"]), "texts")
-        level = self.texts.mapInPandas(_batches(_candidates(width)), "w1 long, w2 long, did long, k long, pos int")
+        self.texts = materialize(texts.mapInPandas(_pack, "k long, did long, places array<int>, packed binary").dropDuplicates(["k"]).withColumn("rid", F.monotonically_increasing_id()), "texts")
+        level = self.texts.mapInPandas(_batches(_candidates(width)), LEVEL).repartition("w1", "w2")
         earliest = level.groupBy("w1", "w2").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select("w1", "w2", "lo")
-        self.marks = materialize(level.join(earliest, ["w1", "w2"]).where("did > lo").groupBy("k").agg(F.collect_list("pos").alias("starts")), "marks")
+        self.marks = materialize(level.join(earliest, ["w1", "w2"]).where("did > lo").groupBy("rid").agg(F.collect_list("pos").alias("starts")), "marks")
 
 
 def substring_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` of every row of ``docs``."""
     found = Repeats(docs, width)
-    cut = found.texts.select("k", "packed").join(found.marks, "k").mapInPandas(_cut(width), "k long, n_removed long, kept string")
+    cut = found.texts.select("k", "rid", "packed").join(found.marks, "rid").mapInPandas(_cut(width), "k long, n_removed long, kept string")
     out = found.rows.join(found.classes.join(cut, "k", "left"), "k")
     copy = (F.col("did") > F.col("first_id")) & (F.col("n_words") >= width)
     return out.select(
@@ -176,14 +177,14 @@ def spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     Two windows of one length that both repeat and lie end to end are the candidates of twice that length.
     """
     found = Repeats(docs, width)
-    own = found.texts.mapInPandas(_batches(_candidates(width)), "w1 long, w2 long, did long, k long, pos int")
-    twice = own.groupBy("w1", "w2").agg(F.count_distinct("k").alias("n")).where("n > 1").select("w1", "w2")
+    own = found.texts.mapInPandas(_batches(_candidates(width)), LEVEL)
+    twice = own.groupBy("w1", "w2").agg(F.count_distinct("rid").alias("n")).where("n > 1").select("w1", "w2")
     level, length, out = materialize(own.join(twice, ["w1", "w2"]), "level"), width, []
     while not level.isEmpty():
         out.append(level.select("did", F.col("pos").alias("start"), F.lit(length).alias("length")))
-        right = level.select(F.col("w1").alias("r1"), F.col("w2").alias("r2"), "k", (F.col("pos") - length).alias("pos"))
-        pairs = level.join(right, ["k", "pos"]).select(F.xxhash64("w1", "w2", "r1", "r2").alias("w1"), F.xxhash64("r2", "w1", "r1", "w2").alias("w2"), "did", "k", "pos")
-        twice = pairs.groupBy("w1", "w2").agg(F.count_distinct("k").alias("n")).where("n > 1").select("w1", "w2")
+        right = level.select(F.col("w1").alias("r1"), F.col("w2").alias("r2"), "rid", (F.col("pos") - length).alias("pos"))
+        pairs = level.join(right, ["rid", "pos"]).select(F.xxhash64("w1", "w2", "r1", "r2").alias("w1"), F.xxhash64("r2", "w1", "r1", "w2").alias("w2"), "did", "rid", "pos")
+        twice = pairs.groupBy("w1", "w2").agg(F.count_distinct("rid").alias("n")).where("n > 1").select("w1", "w2")
         level, length = materialize(pairs.join(twice, ["w1", "w2"]), "level"), 2 * length
     if not out:
         return found.rows.limit(0).select(F.col("did").alias("doc_id"), F.lit(0).alias("start"), F.lit(0).alias("length"))
