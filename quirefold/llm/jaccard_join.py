@@ -41,7 +41,7 @@ WIDTH = 5
 #: Similarity 75/100.
 NUM, DEN = 75, 100
 #: Heaviest shingles that are known to all tasks: at most 12 bytes each.
-HEAVY, HEAVY_HERE = 1 << 21, 2
+HEAVY, HEAVY_HERE = 1 << 20, 2
 #: A posted shingle may have to be compared; an enumerated subset rarely has.
 LIST_COST, LARGEST_SMALL = 8, 16
 
@@ -184,10 +184,10 @@ class Join:
         self.sets = both.where("heavy is null").select("doc_id", "n", "sid")
         spark = docs.sparkSession
         # at most HEAVY rows of two numbers
-        heavy = both.where("heavy is not null").groupBy("heavy").agg(F.sum("weight").alias("weight")).orderBy(F.desc("weight"), "heavy").limit(HEAVY).toPandas()
-        names = heavy["heavy"].to_numpy(np.int64).view(np.uint64)
+        heavy = both.where("heavy is not null").groupBy("heavy").agg(F.sum("weight").alias("weight")).orderBy(F.desc("weight"), "heavy").limit(HEAVY).toArrow()
+        names = heavy["heavy"].to_numpy().view(np.uint64)
         order = np.argsort(names)
-        sent = spark.sparkContext.broadcast((names[order], np.log2(heavy["weight"].to_numpy(float)[order] + 1).astype(np.int8) // 2))
+        sent = spark.sparkContext.broadcast((names[order], np.log2(heavy["weight"].to_numpy().astype(float)[order] + 1).astype(np.int8) // 2))
         # one row for each size
         sizes = Counter({r["n"]: r["c"] for r in self.sets.where("n > 0").where(F.col("n") <= 4 * LARGEST_SMALL).groupBy("n").agg(F.count_distinct("sid").alias("c")).collect()})
         self.small = boundary(sizes)
