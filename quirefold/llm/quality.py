@@ -186,8 +186,10 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     parts = -(-table_.count() // SLICE) or 1
     passes = []
     for k in range(parts):
-        part = table_.where(F.pmod(F.xxhash64("g"), F.lit(parts)) == k).toPandas().sort_values("g")
-        sent = spark.sparkContext.broadcast((part["g"].to_numpy(np.int64), -np.log(part["p"].to_numpy()).astype(np.float32)))
+        part = table_.where(F.pmod(F.xxhash64("g"), F.lit(parts)) == k).select("g", (-F.log("p")).cast("float").alias("cost")).toArrow()
+        g = part["g"].to_numpy()
+        order = np.argsort(g)
+        sent = spark.sparkContext.broadcast((g[order], part["cost"].to_numpy()[order]))
         passes.append(rows.mapInPandas(_score_pass(sent), "doc_id long, lid int, k long, cost double, size long"))
     if parts == 1:
         costs = passes[0]
