@@ -169,6 +169,8 @@ class Geometry:
         return self.o.pick([(self.o.both(inside, near), "sequential"), (inside, "jump"), (self.wraps_line(a, b), "wrap"), (self.wraps_column(a, b), "column")], "far")
 
     def distance(self, a, b):
+        if self.o is _Plain:
+            return self._distance(a, b)
         gap, inside = self.gap(a, b), self.o.both(self.same_line(a, b), self.sequential(a, b))
         near = self.centre_distance(a, b) <= self.extent(a) + self.extent(b)
         return self.o.pick(
@@ -176,6 +178,15 @@ class Geometry:
             FAR + self.centre_distance(a, b),
         )
 
+    def _distance(self, a, b):
+        """The same on numbers, without the branches that don't count."""
+        if self.same_line(a, b) and self.sequential(a, b):
+            near = self.centre_distance(a, b) <= self.extent(a) + self.extent(b)
+            return (STEP if near else self.penalty) + self.gap(a, b)
+        if self.wraps_line(a, b):
+            return WRAP + self.line_gap(a, b)
+        return self.penalty + self.gap(a, b) if self.wraps_column(a, b) else FAR + self.centre_distance(a, b)
+
     def line_position(self, a):
         """Sort keys of sentences: where the line lies, and along it for vertical orders."""
         if self.order.horizontal:

@@ -40,7 +40,6 @@ def lcs_length(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-@F.pandas_udf("int")
 def _lcs(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([lcs_length(list(x), list(y)) for x, y in zip(a, b)])
 
@@ -48,7 +47,7 @@ def _lcs(a: pd.Series, b: pd.Series) -> pd.Series:
 def accuracy(pages: DataFrame) -> DataFrame:
     """``page_id, accuracy``: percent of canonical units found in order; from ``page_id, canonical, sorted``."""
     units = pages.select("page_id", T.score_units(F.col("canonical")).alias("c"), T.score_units(F.col("sorted")).alias("s"))
-    score = F.when(F.size("c") == 0, F.when(F.size("s") == 0, 100.0).otherwise(0.0)).otherwise(100.0 * _lcs("c", "s") / F.size("c"))
+    score = F.when(F.size("c") == 0, F.when(F.size("s") == 0, 100.0).otherwise(0.0)).otherwise(100.0 * F.pandas_udf(_lcs, "int")("c", "s") / F.size("c"))
     return units.select("page_id", score.alias("accuracy"))
 
 
