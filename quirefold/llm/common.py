@@ -87,4 +87,5 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         now = nxt
         if before == sums:
             break
-    return now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+    below = now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+    return below.unionByName(below.select(F.col("component").alias("node"), "component").distinct())
