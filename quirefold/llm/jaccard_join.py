@@ -30,7 +30,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirefold.llm import shingles
@@ -44,6 +44,8 @@ NUM, DEN = 75, 100
 HEAVY, HEAVY_HERE = 1 << 20, 2
 #: A posted shingle may have to be compared; an enumerated subset rarely has.
 LIST_COST, LARGEST_SMALL = 8, 16
+#: Hubs of another component that a set is compared with.
+STARS = 4
 
 
 def least_overlap(n: int) -> int:
@@ -170,10 +172,12 @@ def _pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _possible(na, nb, pa, pb):
-    """Sizes can reach the similarity, and so can what the positions in the two orders leave (-1: a subset's key)."""
+    """Sizes can reach the similarity, and so can what follows these positions (-1: a subset's key).
+
+    What follows must do it alone: at the first shingle that two linked sets share, nothing before it is shared.
+    """
     least = F.ceil((na + nb) * F.lit(NUM) / F.lit(NUM + DEN) - F.lit(1e-9))
-    room = F.least(pa, pb) + 1 + F.least(na - pa - 1, nb - pb - 1)
-    return (F.least(na, nb) * DEN >= F.greatest(na, nb) * NUM) & ((pa < 0) | (room >= least))
+    return (F.least(na, nb) * DEN >= F.greatest(na, nb) * NUM) & ((pa < 0) | (F.least(na - pa, nb - pb) >= least))
 
 
 class Join:
@@ -193,7 +197,9 @@ class Join:
         self.small = boundary(sizes)
         # dealt by key once, for the count and for the join
         rows = self.docs.mapInPandas(_posting_pass(sent, self.small), "key long, sid long, n int, pos int").repartition("key")
-        shared = rows.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("key")
+        shared = rows.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.max("n").alias("n"), F.max("pos").alias("pos"))
+        # all columns are used, so that both sides read one exchange
+        shared = shared.where("lo < hi and n > 0 and pos >= -1").select("key")
         self.lists = materialize(rows.join(shared, "key").dropDuplicates(["key", "sid"]), "lists")
         # sets in many shared lists lie in the middle of their neighbours
         self.degrees = materialize(self.lists.groupBy("sid").agg(F.count("*").alias("lists")), "degrees")
@@ -213,10 +219,13 @@ class Join:
         return lists.join(self.degrees, "sid").groupBy(*by).agg(F.max(entry).alias("h"), F.count("*").alias("c"))
 
     @staticmethod
-    def best(met: DataFrame) -> DataFrame:
-        """``sid, hub``: the hub that a set shares most lists with."""
+    def best(met: DataFrame, most: int = 1) -> DataFrame:
+        """``sid, hub``: the hubs that a set shares most lists with."""
         shared = met.groupBy("sid", "hub").agg(F.count("*").alias("c"))
-        return shared.groupBy("sid").agg(F.max(F.struct("c", "hub")).alias("m")).select("sid", F.col("m.hub").alias("hub"))
+        if most == 1:
+            return shared.groupBy("sid").agg(F.max(F.struct("c", "hub")).alias("m")).select("sid", F.col("m.hub").alias("hub"))
+        rank = F.row_number().over(Window.partitionBy("sid").orderBy(F.desc("c"), F.desc("hub")))
+        return shared.withColumn("rank", rank).where(F.col("rank") <= most).select("sid", "hub")
 
     @staticmethod
     def pairs(best: DataFrame) -> DataFrame:
@@ -234,11 +243,16 @@ class Join:
         return materialize(labelled.join(mixed, "key"), "open")
 
     def star_pairs(self, open_lists: DataFrame) -> DataFrame:
-        """Sets against the hub of the largest component of each of their lists, if that is another one."""
-        top = self.hubs(open_lists, ["key", "part"]).groupBy("key").agg(F.max(F.struct("c", "part", "h")).alias("t")).select("key", F.col("t.part").alias("top"), F.col("t.h").alias("h"))
+        """Sets against central members of the largest component of their lists, if that is another one.
+
+        Each list puts up a member of its own, so a set meets several; the STARS most frequent are compared.
+        """
+        score = F.col("lists") + F.pmod(F.xxhash64("sid", "key"), F.lit(8))
+        own = open_lists.join(self.degrees, "sid").groupBy("key", "part").agg(F.max(F.struct(score.alias("score"), "sid", "n", "pos")).alias("h"), F.count("*").alias("c"))
+        top = own.groupBy("key").agg(F.max(F.struct("c", "part", "h")).alias("t")).select("key", F.col("t.part").alias("top"), F.col("t.h").alias("h"))
         met = open_lists.join(top, "key").where(F.col("part") != F.col("top"))
         met = met.where(_possible(F.col("n"), F.col("h.n"), F.col("pos"), F.col("h.pos")))
-        return self.best(met.select("sid", F.col("h.sid").alias("hub")))
+        return self.best(met.select("sid", F.col("h.sid").alias("hub")), STARS)
 
     @staticmethod
     def cross_pairs(open_lists: DataFrame, seen: DataFrame) -> DataFrame:
@@ -259,7 +273,10 @@ class Join:
         """``node, component`` over set ids that link with another set."""
         first = self.hub_pairs()
         done = self.verify(self.pairs(first))
-        left = self.open_lists(components(done.where("linked").select("a", "b")))
+        # sets that link with their hub go by it for now; hubs that link with one another are found below
+        linked = done.where("linked")
+        ends = linked.select(F.col("a").alias("sid"), F.col("b").alias("hub")).unionByName(linked.select(F.col("b").alias("sid"), F.col("a").alias("hub")))
+        left = self.open_lists(first.join(ends, ["sid", "hub"], "left_semi").select(F.col("sid").alias("node"), F.col("hub").alias("component")))
         star = self.pairs(self.star_pairs(left)).join(done.select("a", "b"), ["a", "b"], "left_anti")
         done = materialize(done.unionByName(self.verify(star)), "done")
         left = self.open_lists(components(done.where("linked").select("a", "b")))
