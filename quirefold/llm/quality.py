@@ -40,7 +40,7 @@ FOLDS, FEW = 5, 10
 #: Nats by which a text's cost must exceed the threshold's: a few bytes prove nothing.
 EVIDENCE = 10.0
 #: Bytes of text that a task counts at once.
-CHUNK = 8 << 20
+CHUNK = 1 << 20
 
 
 def gram_keys(texts: list[str | None], langs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
