@@ -107,6 +107,19 @@ def test_host_runs_are_removed(spark):
     assert {r["text"] for r in rows(html_extract.extract(df))} == {f"own{i} words{i}" for i in range(9)}
 
 
+def test_host_copies_and_quotes_stay(spark, monkeypatch):
+    monkeypatch.setattr(html_extract, "CHUNK_PAGES", 3)
+    body = "this body of an unmarked page has more than eight tokens in it"
+    quote = "a paragraph that two of the pages quote word for word is text as well"
+    notice = "all of our pages repeat this same long notice to every reader"
+    pages = [(i, "http://copies/", f"<p>{body}</p>") for i in (1, 2, 2)]
+    pages += [(i, f"http://many/{i}", f"<div>{notice}</div><p>own{i} words{i}</p>" + f"<p>{quote}</p>" * (i < 12)) for i in range(10, 20)]
+    pages += [(i, f"http://many/{i}", f"<div>{notice}</div><p>{body}</p>") for i in range(20, 30)]
+    got = sorted((r["page_id"], r["text"]) for r in rows(html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string"))))
+    want = [(i, body) for i in (1, 2, 2)] + [(i, f"own{i} words{i}" + f"\n{quote}" * (i < 12)) for i in range(10, 20)] + [(i, body) for i in range(20, 30)]
+    assert got == want
+
+
 def test_bpe_equals_the_library(spark):
     from tokenizers import Tokenizer
 
