@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirefold.config import ReadingOrder
 from quirefold.operators import prepare
 
 
@@ -21,27 +22,33 @@ def leftovers(matches: DataFrame, boxes: DataFrame) -> DataFrame:
 
 
 def sentences(matches: DataFrame, boxes: DataFrame) -> DataFrame:
-    """``page_id, line_no, first, words``: found parts of lines, and leftover islands with the line that holds them.
+    """``page_id, line_no, first, words, reading_order``: found parts of lines, and leftover islands with the line that holds them.
 
     An island belongs to the canonical line that contains it or lies in it, by the largest ratio of their lengths in
     bytes; the earlier of equals; -1 if there is none.
     """
     word = F.struct(F.col("k").alias("at"), "index", "text", "left", "top", "width", "height")
-    found = found_boxes(matches, boxes).groupBy("page_id", "line_no", "part").agg(F.sort_array(F.collect_list(word)).alias("words"), F.min("index").alias("first"))
+    found = found_boxes(matches, boxes).groupBy("page_id", "line_no", "part").agg(F.sort_array(F.collect_list(word)).alias("words"), F.min("index").alias("first"), F.max("reading_order").alias("reading_order"))
     loose = leftovers(matches, boxes).withColumn("k", F.col("index"))
-    spans = loose.groupBy("page_id", "island").agg(F.sort_array(F.collect_list(word)).alias("words"), F.min("index").alias("first"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("index", "norm"))), lambda x: x["norm"]), "").alias("key"))
+    spans = loose.groupBy("page_id", "island").agg(F.sort_array(F.collect_list(word)).alias("words"), F.min("index").alias("first"), F.max("reading_order").alias("reading_order"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("index", "norm"))), lambda x: x["norm"]), "").alias("key"))
     lines = matches.where("part = 0 and not is_blank").select("page_id", F.col("line_no").alias("cand"), F.regexp_replace(F.lower("original"), r"[^\p{L}\p{N}_]+", "").alias("ckey")).where("ckey <> ''")
     holds = F.contains("ckey", F.col("key")) | F.contains("key", F.col("ckey"))
     ratio = F.least(F.octet_length("key"), F.octet_length("ckey")) / F.greatest(F.octet_length("key"), F.octet_length("ckey"))
     near = spans.where("key <> ''").select("page_id", "island", "key").join(lines, "page_id").where(holds)
     best = near.groupBy("page_id", "island").agg(F.max(F.struct(ratio.alias("r"), (-F.col("cand")).alias("c"))).alias("m")).select("page_id", "island", (-F.col("m.c")).alias("line_no"))
-    placed = spans.join(best, ["page_id", "island"], "left").select("page_id", F.coalesce("line_no", F.lit(-1)).cast("int").alias("line_no"), "first", "words")
-    return found.select("page_id", "line_no", "first", "words").unionByName(placed)
+    placed = spans.join(best, ["page_id", "island"], "left").select("page_id", F.coalesce("line_no", F.lit(-1)).cast("int").alias("line_no"), "first", "words", "reading_order")
+    return found.select("page_id", "line_no", "first", "words", "reading_order").unionByName(placed)
 
 
 def paragraphs(sents: DataFrame) -> DataFrame:
-    """``page_id, rank, text, words, bounds``: sentences of one canonical line merged, in line order, unmatched ones last."""
-    key = F.struct(F.col("words")[0]["top"].alias("top"), F.col("words")[0]["left"].alias("left"), "first", "words")
+    """``page_id, rank, text, words, bounds``: sentences of one canonical line merged, in line order, unmatched ones last.
+
+    Sentences of a line go from top to bottom, of vertical pages by columns and then from top to bottom.
+    """
+    head, order = F.col("words")[0], F.col("reading_order")
+    along = F.when(order == int(ReadingOrder.VERTICAL_TTB_RTL), -(head["left"] + head["width"])).when(order == int(ReadingOrder.VERTICAL_TTB_LTR), head["left"]).otherwise(head["top"])
+    tie = F.when(order >= int(ReadingOrder.VERTICAL_TTB_RTL), head["top"]).otherwise(head["left"])
+    key = F.struct(along.alias("along"), tie.alias("tie"), "first", "words")
     merged = sents.withColumn("grp", F.when(F.col("line_no") < 0, F.col("first")).otherwise(F.lit(-1))).groupBy("page_id", "line_no", "grp").agg(F.flatten(F.transform(F.sort_array(F.collect_list(key)), lambda x: x["words"])).alias("words"))
     order = Window.partitionBy("page_id").orderBy(F.when(F.col("line_no") < 0, 1).otherwise(0), "line_no", "grp")
     w = F.col("words")

@@ -85,6 +85,24 @@ def vertical_flow(boxes: DataFrame) -> DataFrame:
     return out.withColumn("is_vertical", (F.col("vertical") >= 30) & (F.col("vertical") >= 2 * F.col("horizontal")))
 
 
+def vertical_pages(boxes: DataFrame) -> DataFrame:
+    """``page_id`` of the pages whose text runs down: by the engine's lines, or by pairs of boxes where no box has a line.
+
+    Of a pair of consecutive boxes, overlap decides: squarish ones below each other count as down, the next beside the
+    last, of any width, as across. At least 30 down and twice those across.
+    """
+    order = Window.partitionBy("page_id").orderBy("index")
+    last = {c: F.lag(c).over(order) for c in ("left", "top", "width", "height")}
+    left, top, width, height = (F.col(c) for c in last)
+    beside = (last["top"] < top + height) & (top < last["top"] + last["height"])
+    below = (last["left"] < left + width) & (left < last["left"] + last["width"])
+    square = (last["height"] > 0) & (height > 0) & (last["width"] < 1.6 * last["height"]) & (width < 1.6 * height)
+    pairs = boxes.select("page_id", "line_id", (beside & ~below & (left >= last["left"])).alias("across"), (below & ~beside & (top > last["top"]) & square).alias("down"))
+    flow = pairs.groupBy("page_id").agg(F.count("line_id").alias("lined"), F.count_if("across").alias("across"), F.count_if("down").alias("down"))
+    flow = flow.where("lined = 0 and down >= 30 and down >= 2 * across").select("page_id")
+    return vertical_votes(boxes).where("is_vertical").select("page_id").unionByName(flow)
+
+
 def rtl_repair(words: DataFrame) -> DataFrame:
     """Characters of right-to-left words, and the words of lines that are mostly such, in reading order.
 

@@ -10,13 +10,13 @@ import math
 import re
 import time
 from bisect import bisect_right
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.config import SorterConfig
+from quirefold.config import ReadingOrder, SorterConfig
 from quirefold.functions.geometry import Box, Geometry
 from quirefold.functions.text import ABBREVIATIONS, CLOSERS
 
@@ -365,10 +365,11 @@ def match_pages(boxes: DataFrame, lines: DataFrame, words: DataFrame, config: So
     """Matched lines of every page: ``MATCHES``.
 
     ``boxes`` are normalized, ``lines(page_id, line_no, text, norm, is_blank)``, ``words(page_id, word, key)`` gives the
-    normalized form of each word of the lines.
+    normalized form of each word of the lines. A ``reading_order`` of the boxes overrules the config's, page by page.
     """
     config = config.validate()
-    packed = boxes.groupBy("page_id").agg(F.collect_list(F.struct("left", "top", "width", "height", "page_width", "page_height", "index", "text", "norm", "line_id")).alias("boxes"))
+    order = F.max("reading_order") if "reading_order" in boxes.columns else F.lit(int(config.reading_order))
+    packed = boxes.groupBy("page_id").agg(order.alias("reading_order"), F.collect_list(F.struct("left", "top", "width", "height", "page_width", "page_height", "index", "text", "norm", "line_id")).alias("boxes"))
     text = lines.groupBy("page_id").agg(F.collect_list(F.struct("line_no", "text", "norm", "is_blank")).alias("lines"))
     keys = words.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "key"))).alias("keys"))
     pages = text.join(packed, "page_id", "left").join(keys, "page_id", "left")
@@ -381,7 +382,8 @@ def match_pages(boxes: DataFrame, lines: DataFrame, words: DataFrame, config: So
             for page in rows.itertuples(index=False):
                 got = [] if page.boxes is None else [Box(**b) for b in page.boxes]
                 own = [Line(x["line_no"], x["text"], x["norm"].split(), x["is_blank"]) for x in sorted(page.lines, key=lambda x: x["line_no"])]
-                done = Page(got, own, config, _plain_normalize(dict(page.keys or {}))).run()
+                settings = config if page.boxes is None else replace(config, reading_order=ReadingOrder(int(page.reading_order)))
+                done = Page(got, own, settings, _plain_normalize(dict(page.keys or {}))).run()
                 counts: dict[int, int] = {}
                 for line in done.lines:
                     counts[line.number] = counts.get(line.number, -1) + 1

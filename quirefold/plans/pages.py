@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.config import SorterConfig, for_language
+from quirefold.config import ReadingOrder, SorterConfig, for_language
 from quirefold.functions import text as T
+from quirefold.llm.common import materialize
 from quirefold.operators import assemble, evaluate, prepare, search
 from quirefold.plans import layout as L
 from quirefold.plans.queries import docs, long, query, text
@@ -19,12 +20,23 @@ def line_words(lines: DataFrame) -> DataFrame:
 
 
 def sort_pages(boxes: DataFrame, lines: DataFrame, config: SorterConfig) -> tuple[DataFrame, DataFrame]:
-    """Normalized boxes and the matched lines of all pages; ``boxes`` as engines read them, ``lines`` with their norms."""
-    ready = L.normalized(boxes)
+    """Normalized boxes and the matched lines of all pages; ``boxes`` as engines read them, ``lines`` with their norms.
+
+    Boxes get the ``reading_order`` of their page. They and the matches are written between the steps, each of which reads them often.
+    """
+    ready = materialize(L.normalized(boxes), "boxes")
+    tokens = lines.select("page_id", "line_no", F.posexplode(T.tokenize_words(F.col("norm"))).alias("pos", "tok"))
+    if config.split_hyphenated:
+        whole = F.col("text") == F.col("whole")
+        cut = prepare.split_hyphens(ready.withColumn("whole", F.col("text")), tokens)
+        ready = materialize(cut.withColumn("norm", F.when(whole, F.col("norm")).otherwise(T.normalize_core(F.col("text")))).where("norm <> ''").drop("whole"), "split")
+    order = F.lit(int(config.reading_order))
+    down = prepare.vertical_pages(ready).withColumn("down", F.lit(int(ReadingOrder.VERTICAL_TTB_RTL))) if config.detect_vertical and config.reading_order.horizontal else None
     if config.repair_lines:
-        tokens = lines.select("page_id", "line_no", F.posexplode(T.tokenize_words(F.col("norm"))).alias("pos", "tok"))
         ready = prepare.line_repair(ready, tokens)
-    return ready, search.match_pages(ready, lines, line_words(lines), config)
+    ready = ready.withColumn("reading_order", order) if down is None else ready.join(down, "page_id", "left").withColumn("reading_order", F.coalesce("down", order)).drop("down")
+    ready = materialize(ready, "ready")
+    return ready, materialize(search.match_pages(ready, lines, line_words(lines), config), "matches")
 
 
 def _run(spark: SparkSession, sf: str, noisy: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
