@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirefold.config import ReadingOrder
+from quirefold.functions import text as T
 from quirefold.operators import prepare
 
 
@@ -21,6 +22,20 @@ def leftovers(matches: DataFrame, boxes: DataFrame) -> DataFrame:
     return prepare.islands(boxes.join(taken, ["page_id", "index"], "left_anti"))
 
 
+def held(matches: DataFrame, boxes: DataFrame) -> DataFrame:
+    """``matches``, where unfound lines that lie whole in a leftover island are found, without a path.
+
+    Of equal parts of a line, the first.
+    """
+    key = lambda text: F.replace(T.normalize_core(text), F.lit(" "), F.lit(""))
+    spans = leftovers(matches, boxes).groupBy("page_id", "island").agg(F.sort_array(F.collect_list(F.struct("index", "text"))).alias("w"))
+    spans = spans.select("page_id", key(F.array_join(F.transform("w", lambda x: x["text"]), " ")).alias("key"))
+    lines = matches.where("not found and not is_blank and original <> ''").select("page_id", "line_no", "part", key(F.col("original")).alias("ckey"))
+    hits = lines.join(spans, "page_id").where(F.contains("key", F.col("ckey"))).groupBy("page_id", "line_no", "ckey").agg(F.min("part").alias("part"))
+    hits = hits.select("page_id", "line_no", "part", F.lit(True).alias("held"))
+    return matches.join(hits, ["page_id", "line_no", "part"], "left").withColumn("found", F.col("found") | F.coalesce("held", F.lit(False))).drop("held")
+
+
 def sentences(matches: DataFrame, boxes: DataFrame) -> DataFrame:
     """``page_id, line_no, first, words, reading_order``: found parts of lines, and leftover islands with the line that holds them.
 
@@ -51,9 +66,29 @@ def paragraphs(sents: DataFrame) -> DataFrame:
     key = F.struct(along.alias("along"), tie.alias("tie"), "first", "words")
     merged = sents.withColumn("grp", F.when(F.col("line_no") < 0, F.col("first")).otherwise(F.lit(-1))).groupBy("page_id", "line_no", "grp").agg(F.flatten(F.transform(F.sort_array(F.collect_list(key)), lambda x: x["words"])).alias("words"))
     order = Window.partitionBy("page_id").orderBy(F.when(F.col("line_no") < 0, 1).otherwise(0), "line_no", "grp")
+    return merged.select("page_id", (F.row_number().over(order) - 1).alias("rank"), "line_no", *_text_and_bounds())
+
+
+def _text_and_bounds() -> tuple[Column, Column, Column]:
     w = F.col("words")
     bounds = F.struct(F.array_min(F.transform(w, lambda x: x["top"])).alias("top"), F.array_min(F.transform(w, lambda x: x["left"])).alias("left"), F.array_max(F.transform(w, lambda x: x["top"] + x["height"])).alias("bottom"), F.array_max(F.transform(w, lambda x: x["left"] + x["width"])).alias("right"))
-    return merged.select("page_id", (F.row_number().over(order) - 1).alias("rank"), "line_no", F.array_join(F.transform(w, lambda x: x["text"]), " ").alias("text"), "words", bounds.alias("bounds"))
+    return F.array_join(F.transform(w, lambda x: x["text"]), " ").alias("text"), w, bounds.alias("bounds")
+
+
+def resegmented(paras: DataFrame, matches: DataFrame) -> DataFrame:
+    """``paras`` with the words of pages of at most one line, in their order, cut anew behind each sentence end."""
+    few = matches.groupBy("page_id").agg(F.count("*").alias("n")).where("n <= 1").select("page_id")
+    order = Window.partitionBy("page_id").orderBy("rank", "k")
+    words = paras.join(few, "page_id").select("page_id", "rank", "line_no", F.posexplode("words").alias("k", "w"))
+    ended = F.coalesce(F.lag(T.ends_sentence(F.col("w.text")).cast("int")).over(order), F.lit(0))
+    cut = words.withColumn("ended", ended).withColumn("no", F.sum("ended").over(order).cast("int"))
+    own = cut.groupBy("page_id", "no").agg(F.min("line_no").alias("line_no"), F.transform(F.sort_array(F.collect_list(F.struct("rank", "k", "w"))), lambda x: x["w"]).alias("words"))
+    return paras.join(few, "page_id", "left_anti").unionByName(own.select("page_id", F.col("no").alias("rank"), "line_no", *_text_and_bounds()))
+
+
+def assembled(matches: DataFrame, boxes: DataFrame) -> DataFrame:
+    """The documents of matched pages."""
+    return documents(resegmented(paragraphs(sentences(matches, boxes)), matches))
 
 
 def documents(paras: DataFrame) -> DataFrame:
@@ -75,14 +110,15 @@ def unhandled(matches: DataFrame) -> DataFrame:
 
 
 def stats(matches: DataFrame) -> DataFrame:
+    """Counts of each page; lines that only leftovers hold are neither found by the search nor unhandled."""
     rows = matches.groupBy("page_id")
-    return rows.agg(F.count("*").alias("lines"), F.count_if("found").alias("lines_found"), F.count_if("split").alias("lines_split"), F.count_if(~F.col("found") & ~F.col("split") & ~F.col("is_blank")).alias("lines_unhandled"), F.sum(F.size(F.filter("path", lambda x: x >= 0))).alias("boxes_matched"), F.sum(F.size(F.filter("path", lambda x: x < 0))).alias("holes"))
+    return rows.agg(F.count("*").alias("lines"), F.count_if(F.col("found") & (F.col("is_blank") | (F.size("path") > 0))).alias("lines_found"), F.count_if("split").alias("lines_split"), F.count_if(~F.col("found") & ~F.col("split") & ~F.col("is_blank")).alias("lines_unhandled"), F.sum(F.size(F.filter("path", lambda x: x >= 0))).alias("boxes_matched"), F.sum(F.size(F.filter("path", lambda x: x < 0))).alias("holes"))
 
 
 def responses(matches: DataFrame, boxes: DataFrame) -> DataFrame:
     """One row for each page: the document, its unhandled lines and its statistics."""
     left = unhandled(matches).groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "part", "text"))).alias("u")).select("page_id", F.transform("u", lambda x: x["text"]).alias("unhandled"))
-    docs = documents(paragraphs(sentences(matches, boxes)))
+    docs = assembled(matches, boxes)
     own = stats(matches)
     return own.join(docs, "page_id", "left").join(left, "page_id", "left").select("page_id", F.struct(F.coalesce("text", F.lit("")).alias("text"), "paragraphs").alias("document"), F.coalesce("unhandled", F.array().cast("array<string>")).alias("unhandled"), F.struct(*(c for c in own.columns if c != "page_id")).alias("stats"))
 

@@ -36,7 +36,8 @@ def sort_pages(boxes: DataFrame, lines: DataFrame, config: SorterConfig) -> tupl
         ready = prepare.line_repair(ready, tokens)
     ready = ready.withColumn("reading_order", order) if down is None else ready.join(down, "page_id", "left").withColumn("reading_order", F.coalesce("down", order)).drop("down")
     ready = materialize(ready, "ready")
-    return ready, materialize(search.match_pages(ready, lines, line_words(lines), config), "matches")
+    matches = materialize(search.match_pages(ready, lines, line_words(lines), config), "matches")
+    return ready, materialize(assemble.held(matches, ready), "held")
 
 
 def _run(spark: SparkSession, sf: str, noisy: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -49,13 +50,13 @@ def _run(spark: SparkSession, sf: str, noisy: bool) -> tuple[DataFrame, DataFram
 @query()
 def sort_pages_clean(spark, sf):
     boxes, matches, _ = _run(spark, sf, False)
-    return assemble.documents(assemble.paragraphs(assemble.sentences(matches, boxes))).select("page_id", "text", long(F.size("paragraphs")).alias("n_paragraphs"))
+    return assemble.assembled(matches, boxes).select("page_id", "text", long(F.size("paragraphs")).alias("n_paragraphs"))
 
 
 @query()
 def sort_pages_noisy(spark, sf):
     boxes, matches, _ = _run(spark, sf, True)
-    return assemble.documents(assemble.paragraphs(assemble.sentences(matches, boxes))).select("page_id", "text", long(F.size("paragraphs")).alias("n_paragraphs"))
+    return assemble.assembled(matches, boxes).select("page_id", "text", long(F.size("paragraphs")).alias("n_paragraphs"))
 
 
 @query()
@@ -71,6 +72,6 @@ def unhandled_lines(spark, sf):
 @query()
 def lcs_accuracy(spark, sf):
     boxes, matches, _ = _run(spark, sf, False)
-    got = assemble.documents(assemble.paragraphs(assemble.sentences(matches, boxes))).select("page_id", F.col("text").alias("sorted"))
+    got = assemble.assembled(matches, boxes).select("page_id", F.col("text").alias("sorted"))
     own = docs(spark, sf).select(F.col("doc_id").alias("page_id"), text().alias("canonical"))
     return evaluate.accuracy(own.join(got, "page_id", "left").withColumn("sorted", F.coalesce("sorted", F.lit(""))))

@@ -30,3 +30,17 @@ def test_vertical_pages_are_read_by_columns(spark):
         df = spark.createDataFrame([(1, "blocks", [" ".join(text[:12]), " ".join(text[12:24])], json.dumps({"blocks": cells}), 1000, 1000)], pages.REQUESTS)
         got = respond(df, "japanese").first()
         assert got["stats"]["lines_found"] == 2
+
+
+def test_one_line_is_cut_at_sentence_ends(spark):
+    text = "One two three four. Five six seven eight! Nine ten of Dr. Smith"
+    words = [box(w, 0.05 + 0.09 * (k % 10), 0.05 + 0.03 * (k // 10)) for k, w in enumerate(text.split())]
+    got = answer(spark, words, [text])
+    assert got["stats"]["lines"] == 1
+    assert got["document"]["text"] == "One two three four.\nFive six seven eight!\nNine ten of Dr. Smith"
+
+
+def test_lines_in_leftovers_are_handled(spark):
+    words = [box("alpha", 0.05, 0.05, line="0"), box("beta", 0.85, 0.05, line="0"), box("delta", 0.05, 0.5, line="1"), box("gamma", 0.85, 0.5, line="1")]
+    got = answer(spark, words, ["alpha beta", "gamma delta"])
+    assert got["unhandled"] == ["gamma delta"] and (got["stats"]["lines_found"], got["stats"]["lines_unhandled"]) == (0, 1)
