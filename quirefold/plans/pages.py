@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from quirefold.config import ReadingOrder, SorterConfig, for_language
 from quirefold.functions import text as T
-from quirefold.llm.common import materialize
 from quirefold.operators import assemble, evaluate, prepare, search
 from quirefold.plans import layout as L
 from quirefold.plans.queries import docs, long, query, text
+from quirefold.shared import materialize
 
 
 def line_words(lines: DataFrame) -> DataFrame:
