@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -51,3 +52,33 @@ def discard(*tables: DataFrame) -> None:
             if "/quirefold/" in parent:
                 path = spark._jvm.org.apache.hadoop.fs.Path(parent)
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Write ``df``, which has one row for each ``key``, as a table of the warehouse in buckets of ``key``.
+
+    Joins on ``key`` read it where it lies, however often. There are as many buckets as shuffle partitions.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"quirefold_{name}_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).saveAsTable(table)
+    return spark.table(table)
+
+
+def drop(table: DataFrame) -> None:
+    """Delete a table that ``bucketed`` has written."""
+    spark = table.sparkSession
+    for f in table.inputFiles()[:1]:
+        name = f.rsplit("/", 2)[1]
+        if name.startswith("quirefold_"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def release(spark: SparkSession) -> None:
+    """Let the session delete the shuffle files of plans that nothing holds any more.
+
+    Spark does so when the driver collects garbage, which a driver with little to do hardly ever does.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
