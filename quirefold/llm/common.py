@@ -2,54 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirefold.shared import discard, materialize
+
+__all__ = ["SPACES", "components", "discard", "lower_ascii", "materialize", "without"]
+
 #: White space of the word contracts: blank and the control range from tab to carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session leaves that setting unset (tests, local runs) is a temporary folder made.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="quirefold-")
-    return f"file://{_own_dirs[app]}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and reread it.
-
-    This cuts the lineage by files that outlive any executor, and gives the planner the true size of the table, so
-    that it broadcasts it only below ``spark.sql.autoBroadcastJoinThreshold``.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quirefold/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete the files of materialized tables that nothing will read again."""
-    for df in tables:
-        spark = df.sparkSession
-        for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if "/quirefold/" in parent:
-                path = spark._jvm.org.apache.hadoop.fs.Path(parent)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
 
 def without(docs: DataFrame, verdicts: DataFrame, kept: str) -> DataFrame:
     """The rows of ``docs`` but those whose doc_id has verdicts and none with ``kept``.
@@ -65,15 +28,16 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """Connected components of ``edges(a, b)``: ``(node, component)`` with the smallest reachable node.
 
     Alternating large-star and small-star rounds, each a pair of aggregations; the number of rounds is logarithmic in
     the diameter. Stars keep one row per (node, hub); hubs are only aggregated by min, so that a hub with any number of
-    neighbours is combined map-side. Nodes without edges are absent. Self-loops are ignored.
+    neighbours is combined map-side. It ends when no row has a neighbour that is not its root, which is exact: then every
+    edge goes from a node to a root, each node has one edge, and no root has one downwards. Running out of rounds is an
+    error, never a partial result. Nodes without edges are absent. Self-loops are ignored; no edges give no rows.
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    sums = None
     for _ in range(max_rounds):
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         hub = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -82,10 +46,14 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         # small star: u and its neighbours below u go to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         nxt = materialize(large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct(), "edges")
-        before, sums = sums, nxt.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         discard(now)
         now = nxt
-        if before == sums:
+        # stars are done when every node has one edge, to a node that has none downwards
+        ends = now.select(F.col("u").alias("x"), F.lit(1).alias("down")).unionByName(now.select(F.col("v").alias("x"), F.lit(0).alias("down")).distinct())
+        state = ends.groupBy("x").agg(F.sum("down").alias("down"), F.count_if(F.col("down") == 0).alias("up")).where("down > 1 or (down > 0 and up > 0)")
+        if state.isEmpty():
             break
-    below = now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    below = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return below.unionByName(below.select(F.col("component").alias("node"), "component").distinct())

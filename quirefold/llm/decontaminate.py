@@ -110,24 +110,33 @@ def match(docs: DataFrame, items: DataFrame, width: int = WIDTH, slop: int = 0)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` of every row of ``docs``."""
+    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, leaked`` of every row of ``docs``.
+
+    ``contaminated`` asks for windows of two items; ``leaked`` for one window of full width, or two items of any length.
+    """
     index, found, wins = match(docs, items, width)
+    # counted by document: the longest window found says whether one is of full width
+    whole = found.groupBy("k1", "k2").agg((F.max("len") >= width).alias("whole"))
     hit = found.select("k1", "k2", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("pos")).distinct().groupBy("k1", "k2").agg(F.count("*").alias("n_hit"))
     held = found.select("k1", "k2", "phrase").distinct().join(wins, "phrase").select("k1", "k2", F.col("item_id").cast("string").alias("item")).distinct()
     held = held.groupBy("k1", "k2").agg(F.count("*").alias("n_items"), F.concat_ws(",", F.sort_array(F.collect_list("item"))).alias("items"))
     rows = index.where("term = ''").select("doc_id", "k1", "k2", F.col("n_words").cast("long").alias("n_words"))
-    out = rows.join(hit.join(held, ["k1", "k2"]), ["k1", "k2"], "left")
+    out = rows.join(hit.join(held, ["k1", "k2"]).join(whole, ["k1", "k2"]), ["k1", "k2"], "left")
     n_items = F.coalesce("n_items", F.lit(0).cast("long"))
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), n_items.alias("n_items"), F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"), (n_items >= CONTAMINATED).alias("contaminated"))
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), n_items.alias("n_items"), F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"), (n_items >= CONTAMINATED).alias("contaminated"), (F.coalesce("whole", F.lit(False)) | (n_items >= CONTAMINATED)).alias("leaked"))
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated."""
-    return without(docs, decontaminate(docs, items).select("doc_id", (~F.col("contaminated")).alias("kept")), "kept")
+    """The rows of ``docs`` that hold no passage of the benchmark: none that is ``leaked``.
+
+    A passage of one item is enough, if it has the full width; a short item alone, which may be any common word, is not.
+    Null and empty texts hold nothing and stay; an empty benchmark keeps all; repeated rows fall or stay together.
+    """
+    return without(docs, decontaminate(docs, items).select("doc_id", (~F.col("leaked")).alias("kept")), "kept")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("leaked")
 
 
 OP10_SQL = r"""

@@ -11,8 +11,12 @@ heaviest ``HEAVY`` of them go last; the order decides how long the lists are, ne
 
 No list is paired with itself. Each set is compared with one hub of its lists first, the set that is in most lists; then
 with the hub of the largest component of its lists; in the end only pairs of a list that are in different components
-after that, and that pass the filters on sizes, positions and distances to a common hub, are compared. Every comparison is exact, on whole texts. What is returned
-is the component of each document: links inside a component need not be listed.
+after that, and that pass the filters on sizes, positions and distances to a common hub, are compared. Every comparison
+is on all shingles of whole texts, by 64-bit hashes within the pair. What is returned is the component of each document:
+links inside a component need not be listed.
+
+A set goes by 64 bits of its digest; sets of different 128-bit digests that share them are found and renamed. The texts
+that are compared lie in buckets of that id, so that only pairs move.
 
 Defined cases: null and empty texts have no shingles, no links, and are their own component; fewer than five words are
 one shingle; equal sets link; a null doc_id is its own component; repeated rows give equal rows; an empty table gives
@@ -34,7 +38,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirefold.llm import shingles
-from quirefold.llm.common import components, materialize, without
+from quirefold.llm.common import components, discard, materialize, without
+from quirefold.shared import bucketed, drop, release
 from quirefold.tables import table
 
 WIDTH = 5
@@ -46,6 +51,8 @@ HEAVY, HEAVY_HERE = 1 << 20, 2
 LIST_COST, LARGEST_SMALL = 8, 16
 #: Hubs of another component that a set is compared with.
 STARS = 4
+#: Sets that share 64 bits of their digests with another.
+MOST_RENAMED = 100_000
 
 
 def least_overlap(n: int) -> int:
@@ -77,9 +84,29 @@ def set_id(s: np.ndarray) -> int:
     return int(np.frombuffer(blake2b(s.tobytes(), digest_size=8).digest(), np.int64)[0])
 
 
+def set_ids(s: np.ndarray) -> tuple[int, int]:
+    """A digest of 128 bits; its first half is the set's id unless another set has the same."""
+    first, second = np.frombuffer(blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
+    return int(first), int(second)
+
+
+def named(s: np.ndarray, moved: dict[tuple[int, int], int]) -> int:
+    own = set_ids(s)
+    return moved.get(own, own[0])
+
+
+def renamed(sets: DataFrame) -> dict[tuple[int, int], int]:
+    """New ids of sets that share their id with another: about one for 2**65 pairs of sets, so they fit the driver."""
+    shared = sets.where("n > 0").groupBy("sid").agg(F.min("sid2").alias("lo"), F.max("sid2").alias("hi")).where("lo < hi").select("sid", "lo")
+    rows = sets.join(shared, "sid").where("sid2 <> lo").select("sid", "sid2").distinct().limit(MOST_RENAMED + 1).collect()
+    if len(rows) > MOST_RENAMED:
+        raise RuntimeError("more sets share 64 bits of their digests than can be")
+    return {(r["sid"], r["sid2"]): int(shingles.mix(np.array([r["sid"] ^ r["sid2"]], np.int64).view(np.uint64)).view(np.int64)[0]) for r in rows}
+
+
 def _first_pass(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Sizes and ids of the sets, then the shingles that repeat among the distinct sets of this partition."""
-    seen: set[int] = set()
+    seen: set[tuple[int, int]] = set()
     parts: list[np.ndarray] = []
     many = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
@@ -95,19 +122,20 @@ def _first_pass(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, ids = [], []
         for s in shingles.shingle_sets(list(rows["text"]), WIDTH):
             n.append(len(s))
-            ids.append(i := set_id(s))
+            ids.append(i := set_ids(s))
             if len(s) and i not in seen:
                 seen.add(i)
                 parts.append(s)
                 held += len(s)
                 if held >= 4_000_000:
                     many, held = merged(), 0
-        yield pd.DataFrame({"doc_id": rows["doc_id"], "n": n, "sid": ids, "heavy": pd.Series([None] * len(n), dtype="Int64"), "weight": pd.Series([None] * len(n), dtype="Int64")})
+        yield pd.DataFrame({"doc_id": rows["doc_id"], "n": n, "sid": [i[0] for i in ids], "sid2": [i[1] for i in ids], "heavy": pd.Series([None] * len(n), dtype="Int64"), "weight": pd.Series([None] * len(n), dtype="Int64")})
     many = merged()
-    yield pd.DataFrame({"doc_id": pd.Series([None] * len(many[0]), dtype="Int64"), "n": pd.Series([None] * len(many[0]), dtype="Int64"), "sid": pd.Series([None] * len(many[0]), dtype="Int64"), "heavy": many[0].view(np.int64), "weight": many[1]})
+    none = pd.Series([None] * len(many[0]), dtype="Int64")
+    yield pd.DataFrame({"doc_id": none, "n": none, "sid": none, "sid2": none, "heavy": many[0].view(np.int64), "weight": many[1]})
 
 
-def _posting_pass(heavy, small: int):
+def _posting_pass(heavy, small: int, moved: dict[tuple[int, int], int]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, weights = heavy.value
         seen: set[int] = set()
@@ -116,7 +144,7 @@ def _posting_pass(heavy, small: int):
             total = 0
             for s in shingles.shingle_sets(list(rows["text"]), WIDTH):
                 n = len(s)
-                if n == 0 or (i := set_id(s)) in seen:
+                if n == 0 or (i := named(s, moved)) in seen:
                     continue
                 seen.add(i)
                 if n <= small:
@@ -148,7 +176,7 @@ def _posting_frame(out: list) -> pd.DataFrame:
 
 def _compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     unpack = zstandard.ZstdDecompressor()
-    sets = lambda packed: shingles.shingle_sets([unpack.decompress(p).decode() for p in packed], WIDTH)
+    sets = lambda packed: shingles.shingle_sets([unpack.decompress(p).decode("utf-8", "surrogatepass") for p in packed], WIDTH)
     for rows in frames:
         for k in range(0, len(rows), 1000):
             part = rows.iloc[k : k + 1000]
@@ -163,12 +191,16 @@ def _compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield part[["a", "b"]].assign(linked=linked, apart=apart)
 
 
-def _pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    pack = zstandard.ZstdCompressor(level=1)
-    for rows in frames:
-        own = np.array([set_id(s) for s in shingles.shingle_sets(list(rows["text"]), WIDTH)], np.int64) == rows["sid"].to_numpy()
-        rows = rows[own]
-        yield pd.DataFrame({"sid": rows["sid"], "packed": [pack.compress((t or "").encode()) for t in rows["text"]]})
+def _pack(moved: dict[tuple[int, int], int]):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pack = zstandard.ZstdCompressor(level=1)
+        for rows in frames:
+            # rows of one doc_id may hold several sets
+            own = np.array([named(s, moved) for s in shingles.shingle_sets(list(rows["text"]), WIDTH)], np.int64) == rows["sid"].to_numpy()
+            rows = rows[own]
+            yield pd.DataFrame({"sid": rows["sid"], "packed": [pack.compress((t or "").encode("utf-8", "surrogatepass")) for t in rows["text"]]})
+
+    return run
 
 
 def _possible(na, nb, pa, pb):
@@ -183,10 +215,15 @@ def _possible(na, nb, pa, pb):
 class Join:
     def __init__(self, docs: DataFrame):
         self.docs = docs.select("doc_id", "text")
-        schema = "doc_id long, n long, sid long, heavy long, weight long"
+        schema = "doc_id long, n long, sid long, sid2 long, heavy long, weight long"
         both = materialize(self.docs.mapInPandas(_first_pass, schema), "sets")
-        self.sets = both.where("heavy is null").select("doc_id", "n", "sid")
+        sets = both.where("heavy is null").select("doc_id", "n", "sid", "sid2")
         spark = docs.sparkSession
+        moved = renamed(sets)
+        if moved:
+            names_ = spark.createDataFrame([(*k, v) for k, v in moved.items()], "sid long, sid2 long, own long")
+            sets = sets.join(F.broadcast(names_), ["sid", "sid2"], "left").withColumn("sid", F.coalesce("own", "sid"))
+        self.sets = sets.select("doc_id", "n", "sid")
         # at most HEAVY rows of two numbers
         heavy = both.where("heavy is not null").groupBy("heavy").agg(F.sum("weight").alias("weight")).orderBy(F.desc("weight"), "heavy").limit(HEAVY).toArrow()
         names = heavy["heavy"].to_numpy().view(np.uint64)
@@ -196,7 +233,7 @@ class Join:
         sizes = Counter({r["n"]: r["c"] for r in self.sets.where("n > 0").where(F.col("n") <= 4 * LARGEST_SMALL).groupBy("n").agg(F.count_distinct("sid").alias("c")).collect()})
         self.small = boundary(sizes)
         # dealt by key once, for the count and for the join
-        rows = self.docs.mapInPandas(_posting_pass(sent, self.small), "key long, sid long, n int, pos int").repartition("key")
+        rows = self.docs.mapInPandas(_posting_pass(sent, self.small, moved), "key long, sid long, n int, pos int").repartition("key")
         shared = rows.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.max("n").alias("n"), F.max("pos").alias("pos"))
         # all columns are used, so that both sides read one exchange
         shared = shared.where("lo < hi and n > 0 and pos >= -1").select("key")
@@ -205,13 +242,20 @@ class Join:
         self.degrees = materialize(self.lists.groupBy("sid").agg(F.count("*").alias("lists")), "degrees")
         need = self.degrees.select("sid")
         one = self.sets.groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(need, "sid")
-        self.texts = materialize(self.docs.join(one.hint("merge"), "doc_id").select("sid", "text").mapInPandas(_pack, "sid long, packed binary").dropDuplicates(["sid"]), "texts")
+        sent.unpersist()
+        release(spark)
+        found = self.docs.join(one.hint("merge"), "doc_id").select("sid", "text").mapInPandas(_pack(moved), "sid long, packed binary")
+        # the exchange by id serves the choice of one row and the buckets
+        self.texts = bucketed(found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sid").dropDuplicates(["sid"]), "sid", "texts")
+        release(spark)
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """``a, b, linked, apart`` (1 - similarity) of pairs of set ids."""
         a = self.texts.select(F.col("sid").alias("a"), F.col("packed").alias("text_a"))
         b = self.texts.select(F.col("sid").alias("b"), F.col("packed").alias("text_b"))
-        return materialize(pairs.select("a", "b").join(b, "b").join(a, "a").mapInPandas(_compare, "a long, b long, linked boolean, apart double"), "verified")
+        out = materialize(pairs.select("a", "b").join(b.hint("merge"), "b").join(a.hint("merge"), "a").mapInPandas(_compare, "a long, b long, linked boolean, apart double"), "verified")
+        release(pairs.sparkSession)
+        return out
 
     def hubs(self, lists: DataFrame, by: list[str]) -> DataFrame:
         """The set of each group of list entries that is in most lists."""
@@ -277,15 +321,20 @@ class Join:
         linked = done.where("linked")
         ends = linked.select(F.col("a").alias("sid"), F.col("b").alias("hub")).unionByName(linked.select(F.col("b").alias("sid"), F.col("a").alias("hub")))
         left = self.open_lists(first.join(ends, ["sid", "hub"], "left_semi").select(F.col("sid").alias("node"), F.col("hub").alias("component")))
-        star = self.pairs(self.star_pairs(left)).join(done.select("a", "b"), ["a", "b"], "left_anti")
+        star = materialize(self.pairs(self.star_pairs(left)).join(done.select("a", "b"), ["a", "b"], "left_anti"), "stars")
+        discard(left)
         done = materialize(done.unionByName(self.verify(star)), "done")
         left = self.open_lists(components(done.where("linked").select("a", "b")))
         both = done.select("a", "b", "apart")
         seen = first.join(both.withColumnsRenamed({"a": "sid", "b": "hub"}).unionByName(both.select(F.col("b").alias("sid"), F.col("a").alias("hub"), "apart")), ["sid", "hub"])
         itself = first.select(F.col("hub").alias("sid"), "hub", F.lit(0.0).alias("apart")).distinct()
         seen = materialize(seen.unionByName(itself).groupBy("sid").agg(F.min(F.struct("apart", "hub")).alias("m")).select("sid", "m.hub", "m.apart"), "seen")
-        cross = self.cross_pairs(left, seen).join(done.select("a", "b"), ["a", "b"], "left_anti")
-        done = done.unionByName(self.verify(materialize(cross, "pairs")))
+        cross = materialize(self.cross_pairs(left, seen).join(done.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        discard(left, seen, first, self.lists, self.degrees)
+        del left, seen, first, star, both, itself
+        release(cross.sparkSession)
+        done = done.unionByName(self.verify(cross))
+        drop(self.texts)
         return components(done.where("linked").select("a", "b"))
 
 

@@ -223,9 +223,15 @@ def test_kneser_ney_sums_to_one(spark):
     assert abs(sum(r["p"] for r in rows(quality.probabilities(counts, wanted))) - 1) < 1e-9
 
 
+def word_shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
+
+
 def brute_components(texts, ids):
-    sets = [frozenset(shingles.shingle_set(t).tolist()) for t in texts]
-    head = dict(zip(ids, ids))
+    """By tuples of words, with nothing of the engine."""
+    sets = [word_shingles(t) for t in texts]
+    head = {i: i for i in ids}
 
     def find(x):
         while head[x] != x:
@@ -241,12 +247,43 @@ def brute_components(texts, ids):
     return {i: (len(s), find(i)) for i, s in zip(ids, sets)}
 
 
+@pytest.mark.parametrize("boundary", [None, 0, 16])
 @pytest.mark.parametrize("texts", [odd_texts(150, 7), []])
-def test_jaccard_join(spark, texts):
+def test_jaccard_join(spark, monkeypatch, texts, boundary):
+    if boundary is not None:
+        monkeypatch.setattr(jaccard_join, "boundary", lambda sizes: boundary)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows(jaccard_join.jaccard_join(frame(spark, texts)))}
     assert got == brute_components(texts, list(range(len(texts))))
 
 
+def test_near_copies_of_repeats_and_nulls(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    df = frame(spark, [text, text, text + " more", None, "", text], [3, 3, 5, None, 7, None])
+    got = sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in rows(jaccard_join.jaccard_join(df)))
+    assert got == [("3", 36, 3), ("3", 36, 3), ("5", 37, 3), ("7", 0, 7), ("None", 0, None), ("None", 36, 3)]
+    kept = rows(jaccard_join.keep_one(df))
+    assert sorted(str(r["doc_id"]) for r in kept) == ["3", "3", "7", "None", "None"] and set(kept[0]) == set(df.columns)
+
+
+def test_a_list_that_all_share_is_not_paired_with_itself(spark):
+    """300 texts share a passage; comparisons grow with texts, not with their pairs."""
+    passage = " ".join(f"p{k}" for k in range(30))
+    texts = [f"{passage} {' '.join(f'own{i}x{k}' for k in range(4))}" for i in range(300)]
+    join = jaccard_join.Join(frame(spark, texts))
+    made = []
+    real = join.verify
+    join.verify = lambda pairs: made.append(pairs.count()) or real(pairs)
+    assert {r["component"] for r in rows(join.run())} and sum(made) < 10 * len(texts)
+
+
+def test_sets_that_share_an_id_are_renamed(spark, monkeypatch):
+    real = jaccard_join.set_ids
+    monkeypatch.setattr(jaccard_join, "set_ids", real)
+    sets = spark.createDataFrame([(1, 5, 77, 10), (2, 5, 77, 10), (3, 6, 77, 11), (4, 5, 78, 10)], "doc_id long, n long, sid long, sid2 long")
+    moved = jaccard_join.renamed(sets)
+    assert list(moved) == [(77, 11)] and moved[77, 11] not in (77, 78)
+
+
 def test_shingles_are_the_contracts_words():
     texts = [t for t in odd_texts() if t is not None]
     for t, h in zip(texts, shingles.hash_texts(texts, lower=False)):
@@ -268,6 +305,13 @@ def test_components_of_a_chain(spark):
     assert {got[k] for k in range(61)} == {0} and got[101] == got[100] == 100 and len(got) == 63
 
 
+def test_components_never_end_half_way(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(200)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components(edges, max_rounds=1)
+    assert components(edges.limit(0)).count() == 0
+
+
 def brute_hits(texts, items):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     wins = {}
@@ -294,7 +338,20 @@ def test_decontaminate(spark, empty):
     texts = odd_texts(60) + [f"before {t} after {u}" for (_, t), (_, u) in zip(items[:11], items[1:12])] + ["a short item, one"]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {x["doc_id"]: (x["n_words"], x["n_hit"], x["n_items"], x["items_sha256"], x["contaminated"]) for x in rows(decontaminate.decontaminate(frame(spark, texts), bench))}
-    assert got == brute_hits(list(enumerate(texts)), items)
+    want = brute_hits(list(enumerate(texts)), items)
+    assert got == want
+    long_items = [(i, t) for i, t in items if len((t or "").split()) >= 8]
+    leaked = {i for i, w in brute_hits(list(enumerate(texts)), long_items).items() if w[1]} | {i for i, w in want.items() if w[4]}
+    kept = rows(decontaminate.clean(frame(spark, texts), bench))
+    assert {r["doc_id"] for r in kept} == set(range(len(texts))) - leaked and (empty or len(leaked) >= 11)
+
+
+def test_one_planted_passage_drops_a_document(spark):
+    bench = spark.createDataFrame([(1, "Alpha beta gamma delta omega sigma kappa lambda end"), (2, "the")], "item_id long, text string")
+    docs = frame(spark, ["x alpha beta gamma delta omega, SIGMA kappa lambda y", "the beta gamma delta", None, "", "clean"], [1, 2, 3, 4, None])
+    assert sorted(str(r["doc_id"]) for r in rows(decontaminate.clean(docs, bench))) == ["2", "3", "4", "None"]
+    got = {r["doc_id"]: (r["n_items"], r["contaminated"], r["leaked"]) for r in rows(decontaminate.decontaminate(docs, bench))}
+    assert got[1] == (1, False, True) and got[2] == (1, False, False)
 
 
 def test_proximity(spark):
