@@ -1,19 +1,21 @@
 """Quality: an interpolated modified Kneser-Ney n-gram model of trusted text.
 
 Each language has a model of ``ORDER`` bytes over its trusted documents (those labelled of good quality) outside one fold,
-whose documents set the thresholds. Tasks
-count the n-grams of their texts; the counts of all orders, the continuation counts, the discounts and the context
-totals are aggregations of those, and the probability of every n-gram that any document holds is found by joins of the
-count tables, sharded by n-gram and by context, from order 1 upwards. The finished table is sent to the documents in
-slices of at most ``SLICE`` n-grams, one pass each; a document's perplexity is the exponential of its mean negative
-log-probability over all bytes of its whole text.
+whose documents set the thresholds. Tasks count the n-grams of their texts; the counts of all orders, the continuation
+counts, the discounts and the context totals are aggregations of those, and the probability of every n-gram that any
+document holds is found by joins of the count tables, sharded by n-gram and by context, from order 1 upwards. The
+finished table is sent to the documents in slices of at most ``SLICE`` n-grams, one at a time and one pass each; a
+document's perplexity is the exponential of its mean negative log-probability over all bytes of its whole text.
 
-A document is rejected if its perplexity is above its language's threshold, and its whole cost by ``EVIDENCE`` nats: the
-threshold is the median of the trusted documents plus ``SPREAD`` times the distance to their ``UPPER`` quantile.
+The score that is judged is the smoothed perplexity: the same mean after ``PRIOR`` further bytes at the language's median
+cost, so that a few bytes prove little. A document is rejected if it is above the ``UPPER`` quantile of its language's
+held-out trusted documents. Quantiles are taken from counts on a grid of ``1 / GRID`` nats, so no group is collected.
 
 Defined cases: a null or empty text has no perplexity and is kept; a null language is a language of its own; a language
-without trusted text has no model, and its documents are kept; labels that are null or contradict (good and bad for one
-id) do not make a document trusted; repeated rows get the same result; further columns are ignored.
+without trusted text outside the fold has no model, perplexity and threshold, and its documents are kept; one without
+trusted text inside the fold takes its quantiles from its other trusted documents; labels that are null or contradict
+(good and bad for one id) do not make a document trusted; a null doc_id is never trusted; repeated rows get the same
+result; empty documents or labels give no rows or no verdicts; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +25,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import materialize, without
+from quirefold.llm.common import discard, materialize, without
+from quirefold.shared import release
 from quirefold.tables import table
 
 ORDER = 5
@@ -34,11 +37,14 @@ BITS = 8 * ORDER
 MASK = (1 << BITS) - 1
 #: Probabilities of one slice: 12 bytes each.
 SLICE = 4_000_000
-UPPER, SPREAD = 0.99, 1.5
-#: One fold of the trusted documents is not trained on and sets the quantiles; so many documents double the spread.
-FOLDS, FEW = 5, 10
-#: Nats by which a text's cost must exceed the threshold's: a few bytes prove nothing.
-EVIDENCE = 10.0
+#: The quantile of held-out trusted documents up to which documents are kept, and steps of a nat that tell costs apart.
+UPPER, GRID = 0.995, 1000
+#: One fold of the trusted documents is not trained on and sets the quantiles.
+FOLDS = 5
+#: Bytes at the language's median cost that every text is given.
+PRIOR = 200
+#: A language that no key of the model has.
+UNKNOWN = (1 << 22) - 1
 #: Bytes of text that a task counts at once.
 CHUNK = 1 << 20
 
@@ -142,13 +148,17 @@ def probabilities(counts: dict[int, DataFrame], wanted: DataFrame) -> DataFrame:
     return below.select(F.col("s").alias("g"), F.col("q").alias("p"))
 
 
-def _with_language(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents with a number for their language, and the numbers. There are few languages."""
-    names = sorted({r["lang"] for r in docs.select(F.coalesce("lang", F.lit("")).alias("lang")).distinct().collect()})
-    spark = docs.sparkSession
-    langs = spark.createDataFrame(list(enumerate(names)), "lid int, lang string")
-    number = F.coalesce(*(F.when(F.coalesce("lang", F.lit("")) == n, k) for k, n in enumerate(names)), F.lit(0)) if names else F.lit(0)
-    return docs.select("doc_id", "text", number.alias("lid"), F.xxhash64("doc_id", "text", "lang").alias("k")), langs
+def languages(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """``lang, lid``: a number for each language of trusted documents. A row for each language."""
+    held = docs.join(trusted, "doc_id", "left_semi").select("lang").distinct()
+    return materialize(held.select("lang", (F.row_number().over(Window.orderBy("lang")) - 1).cast("int").alias("lid")), "languages")
+
+
+def numbered(docs: DataFrame, langs: DataFrame) -> DataFrame:
+    """Documents with the number of their language, null where there is none, and a key that only repeated rows share."""
+    names = langs.withColumnRenamed("lang", "name")
+    rows = docs.select("doc_id", "text", "lang").join(names, F.col("lang").eqNullSafe(F.col("name")), "left")
+    return rows.select("doc_id", "text", "lang", "lid", F.xxhash64("doc_id", "text", "lang").alias("k"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -161,49 +171,81 @@ def _score_pass(part):
         for rows in frames:
             total, size = [], []
             for chunk in _chunks(rows):
-                keys, owner = gram_keys(list(chunk["text"]), chunk["lid"].to_numpy())
+                keys, owner = gram_keys(list(chunk["text"]), chunk["lid"].fillna(UNKNOWN).to_numpy(np.int64))
                 at = np.minimum(np.searchsorted(g, keys), max(0, len(g) - 1))
                 value = np.where(g[at] == keys, cost[at], 0) if len(g) else np.zeros(len(keys))
                 total.append(np.bincount(owner, value, minlength=len(chunk)))
                 size.append(np.bincount(owner, minlength=len(chunk)))
             if len(rows):
-                yield rows[["doc_id", "lid", "k"]].assign(cost=np.concatenate(total), size=np.concatenate(size).astype(np.int64))
+                yield rows[["doc_id", "lang", "lid", "k"]].assign(cost=np.concatenate(total), size=np.concatenate(size).astype(np.int64))
 
     return run
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, lang, n_bytes, perplexity, threshold, kept`` of every row of ``docs``."""
-    spark = docs.sparkSession
-    rows, langs = _with_language(docs)
-    trusted = trusted_ids(labels)
-    tested = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)) == 0
-    highest = rows.join(trusted.where(~tested).hint("merge"), "doc_id", "left_semi").select("text", "lid").mapInPandas(_count, "g long, c long")
-    counts = counts_by_order(materialize(highest.groupBy("g").agg(F.sum("c").alias("c")), f"count{ORDER}"))
-    known = counts[1].select(_lid(F.col("g")).cast("int").alias("lid")).distinct()
-    wanted = rows.select("text", "lid").mapInPandas(_count, "g long, c long").select("g").distinct().withColumn("lid", _lid(F.col("g")).cast("int"))
-    table_ = materialize(probabilities(counts, materialize(wanted.join(known, "lid", "left_semi").select("g"), "wanted")), "model")
-    parts = -(-table_.count() // SLICE) or 1
+def costs(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """``doc_id, lang, lid, size, cost`` of every row: bytes and nats, by one slice of the model after the other."""
+    spark = rows.sparkSession
+    parts = -(-model.count() // SLICE) or 1
     passes = []
     for k in range(parts):
-        part = table_.where(F.pmod(F.xxhash64("g"), F.lit(parts)) == k).select("g", (-F.log("p")).cast("float").alias("cost")).toArrow()
+        part = model.where(F.pmod(F.xxhash64("g"), F.lit(parts)) == k).select("g", (-F.log("p")).cast("float").alias("cost")).toArrow()
         g = part["g"].to_numpy()
         order = np.argsort(g)
         sent = spark.sparkContext.broadcast((g[order], part["cost"].to_numpy()[order]))
-        passes.append(rows.mapInPandas(_score_pass(sent), "doc_id long, lid int, k long, cost double, size long"))
+        del part, g, order
+        passes.append(materialize(rows.mapInPandas(_score_pass(sent), "doc_id long, lang string, lid int, k long, cost double, size long"), "costs"))
+        sent.destroy()
     if parts == 1:
-        costs = passes[0]
-    else:
-        summed = reduce(DataFrame.unionByName, passes).groupBy("doc_id", "lid", "k", "size").agg((F.sum("cost") * parts / F.count("*")).alias("cost"), (F.count("*") / parts).cast("int").alias("copies"))
-        costs = summed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies", "copy")
-    costs = materialize(costs.select("doc_id", "lid", "size", F.when(F.col("size") > 0, F.exp(F.col("cost") / F.col("size"))).alias("perplexity")), "costs")
-    calibration = costs.where("perplexity is not null").join(trusted.where(tested), "doc_id", "left_semi")
-    q = calibration.groupBy("lid").agg(F.percentile_approx("perplexity", [0.5, UPPER], 10_000).alias("q"), F.count("*").alias("n"))
-    limits = q.select("lid", (F.col("q")[0] + SPREAD * (1 + FEW / F.col("n")) * (F.col("q")[1] - F.col("q")[0])).alias("threshold"))
+        return passes[0].select("doc_id", "lang", "lid", "size", "cost")
+    key = ("doc_id", "lang", "lid", "k", "size")
+    summed = reduce(DataFrame.unionByName, passes).groupBy(*key).agg((F.sum("cost") * parts / F.count("*")).alias("cost"), (F.count("*") / parts).cast("int").alias("copies"))
+    out = materialize(summed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc_id", "lang", "lid", "size", "cost"), "costs")
+    discard(*passes)
+    return out
+
+
+def quantile(rows: DataFrame, value, share: float, name: str) -> DataFrame:
+    """``lid, name``: the smallest step of the grid up to which ``share`` of each language's rows lie."""
+    bins = rows.select("lid", F.ceil(value * GRID).alias("bin")).groupBy("lid", "bin").agg(F.count("*").alias("n"))
+    below = Window.partitionBy("lid").orderBy("bin")
+    reached = bins.select("lid", "bin", F.sum("n").over(below).alias("at"), F.sum("n").over(Window.partitionBy("lid")).alias("all"))
+    return reached.where(F.col("at") >= share * F.col("all")).groupBy("lid").agg((F.min("bin") / GRID).alias(name))
+
+
+def thresholds(scored: DataFrame, trusted: DataFrame) -> DataFrame:
+    """``lid, middle, upper`` in nats a byte, from the trusted rows of ``scored``: those of the fold where it has any."""
+    own = scored.where("lid is not null and size > 0").join(trusted, "doc_id", "left_semi").withColumn("held", tested())
+    own = own.join(own.groupBy("lid").agg(F.max("held").alias("any_held")), "lid").where("held or not any_held")
+    own = materialize(own.select("lid", "size", "cost"), "trusted")
+    middle = materialize(quantile(own, F.col("cost") / F.col("size"), 0.5, "middle"), "middle")
+    return middle.join(quantile(own.join(middle, "lid"), smoothed(), UPPER, "upper"), "lid")
+
+
+def smoothed():
+    return (F.col("cost") + PRIOR * F.col("middle")) / (F.col("size") + PRIOR)
+
+
+def tested():
+    return F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)) == 0
+
+
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id, lang, n_bytes, perplexity, smoothed, threshold, kept`` of every row of ``docs``."""
+    trusted = materialize(trusted_ids(labels), "trusted-ids")
+    trained = trusted.where(~tested())
+    rows = numbered(docs, languages(docs, trained))
+    highest = rows.join(trained, "doc_id", "left_semi").select("text", "lid").mapInPandas(_count, "g long, c long")
+    counts = counts_by_order(materialize(highest.groupBy("g").agg(F.sum("c").alias("c")), f"count{ORDER}"))
+    wanted = materialize(rows.where("lid is not null").select("text", "lid").mapInPandas(_count, "g long, c long").select("g").distinct(), "wanted")
+    model = materialize(probabilities(counts, wanted), "model")
+    discard(wanted, *counts.values())
+    release(docs.sparkSession)
+    scored = costs(rows, model)
     # a row for each language on the right
-    out = costs.join(F.broadcast(limits), "lid", "left").join(F.broadcast(langs), "lid")
-    perplexity = F.when(F.col("threshold").isNotNull(), F.col("perplexity"))
-    return out.select("doc_id", "lang", F.col("size").alias("n_bytes"), perplexity.alias("perplexity"), "threshold", F.coalesce(F.col("size") * F.log(F.col("perplexity") / F.col("threshold")) <= EVIDENCE, F.lit(True)).alias("kept"))
+    out = scored.join(F.broadcast(materialize(thresholds(scored, trusted), "thresholds")), "lid", "left")
+    perplexity = F.when((F.col("size") > 0) & F.col("upper").isNotNull(), F.exp(F.col("cost") / F.col("size")))
+    judged = F.when(F.col("size") > 0, smoothed())
+    return out.select("doc_id", "lang", F.col("size").alias("n_bytes"), perplexity.alias("perplexity"), F.exp(judged).alias("smoothed"), F.exp("upper").alias("threshold"), F.coalesce(judged <= F.col("upper"), F.lit(True)).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

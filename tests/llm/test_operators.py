@@ -1,9 +1,11 @@
 """The training-data operators on small tables with odd rows, against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -213,16 +215,98 @@ def test_quality_rejects_garbage(spark):
     assert all(x["kept"] for x in rows(quality.score(docs, labels.limit(0))))
 
 
+def counted(spark, texts):
+    docs = spark.createDataFrame([(t, 0) for t in texts], "text string, lid int")
+    raw = docs.mapInPandas(quality._count, "g long, c long")
+    return quality.counts_by_order(raw.groupBy("g").agg({"c": "sum"}).withColumnRenamed("sum(c)", "c"))
+
+
 def test_kneser_ney_sums_to_one(spark):
-    texts = ["abracadabra", "banana band", "cabbage"]
-    docs, _ = quality._with_language(frame(spark, texts))
-    counted = docs.select("text", "lid").mapInPandas(quality._count, "g long, c long")
-    counts = quality.counts_by_order(counted.groupBy("g").agg({"c": "sum"}).withColumnRenamed("sum(c)", "c"))
+    counts = counted(spark, ["abracadabra", "banana band", "cabbage"])
     context = int.from_bytes(b"\xffban", "big")
     wanted = spark.createDataFrame([((context << 8) | b,) for b in range(256)], "g long")
     assert abs(sum(r["p"] for r in rows(quality.probabilities(counts, wanted))) - 1) < 1e-9
 
 
+class PlainKneserNey:
+    """Interpolated modified Kneser-Ney over bytes, by its definition."""
+
+    def __init__(self, texts, order):
+        self.order = order
+        grams = Counter()
+        for t in texts:
+            raw = b"\xff" * (order - 1) + t.encode()
+            grams.update(raw[k : k + order] for k in range(len(raw) - order + 1))
+        self.counts = {order: grams}
+        for n in range(order - 1, 0, -1):
+            self.counts[n] = Counter(g[1:] for g in self.counts[n + 1])
+        self.discounts = {}
+        for n, c in self.counts.items():
+            of = Counter(c.values())
+            y = of[1] / (of[1] + 2 * of[2])
+            d = [0.0]
+            for k in (1, 2, 3):
+                d.append(min(max(k - (k + 1) * y * of[k + 1] / of[k], 0.05), k - 0.05) if of[k] and of[k + 1] else 0.75 * k)
+            self.discounts[n] = d
+        self.followers = {n: defaultdict(list) for n in self.counts}
+        for n, c in self.counts.items():
+            for g, v in c.items():
+                self.followers[n][g[:-1]].append(v)
+
+    def p(self, gram):
+        n = len(gram)
+        if n == 0:
+            return 1 / 256
+        lower, own = self.p(gram[1:]), self.followers[n].get(gram[:-1])
+        if not own:
+            return lower
+        d = self.discounts[n]
+        c = self.counts[n][gram]
+        return max(c - d[min(c, 3)], 0) / sum(own) + sum(d[min(v, 3)] for v in own) / sum(own) * lower
+
+
+def test_kneser_ney_equals_its_definition(spark):
+    r = random.Random(8)
+    texts = [" ".join(r.choices(WORDS, k=20)) for _ in range(20)]
+    plain = PlainKneserNey(texts, quality.ORDER)
+    seen = [" ".join(r.choices(WORDS, k=9)) + " unseen zebra" for _ in range(20)]
+    docs = spark.createDataFrame([(i, t, "en", 0, i) for i, t in enumerate(seen)], "doc_id long, text string, lang string, lid int, k long")
+    wanted = docs.select("text", "lid").mapInPandas(quality._count, "g long, c long").select("g").distinct()
+    got = {x["doc_id"]: x["cost"] for x in rows(quality.costs(docs, quality.probabilities(counted(spark, texts), wanted)))}
+    for i, t in enumerate(seen):
+        raw = b"\xff" * (quality.ORDER - 1) + t.encode()
+        assert got[i] == pytest.approx(-sum(math.log(plain.p(raw[k : k + quality.ORDER])) for k in range(len(t.encode()))), rel=1e-5)
+
+
+def test_quality_slices_and_languages(spark, monkeypatch):
+    r = random.Random(4)
+    made = [(k, " ".join(r.choices(WORDS, k=40)), [None, "", "en"][k % 3]) for k in range(120)] + [(500, "the of and", "xx"), (None, "the of and", "en"), (501, "the of and", None), (501, "the of and", None)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(90)], "doc_id long, quality int, toxic int")
+    whole = sorted(map(str, rows(quality.score(docs, labels))))
+    monkeypatch.setattr(quality, "SLICE", 300)
+    parts = rows(quality.score(docs, labels))
+    key = lambda x: (str(x["doc_id"]), str(x["lang"]), x["n_bytes"])
+    assert len(parts) == len(whole) == len(made) and {(str(x["lang"]), x["threshold"] is None) for x in parts} == {("None", False), ("", False), ("en", False), ("xx", True)}
+    once = {key(x): x for x in rows(quality.score(docs, labels))}
+    for x in parts:
+        assert x["kept"] == once[key(x)]["kept"] and (x["perplexity"] is None or x["perplexity"] == pytest.approx(once[key(x)]["perplexity"]))
+    assert rows(quality.score(docs.limit(0), labels)) == []
+
+
+def test_thresholds_are_quantiles_of_each_language(spark):
+    r = random.Random(6)
+    made = [(i, i % 2, 50 + i, r.uniform(1, 3) * (50 + i)) for i in range(400)]
+    scored = spark.createDataFrame(made, "doc_id long, lid int, size long, cost double")
+    trusted = spark.range(0, 300).withColumnRenamed("id", "doc_id")
+    held = {x["doc_id"] for x in rows(trusted.where(quality.tested()))}
+    for x in rows(quality.thresholds(scored, trusted)):
+        own = [(s, c) for i, lid, s, c in made if lid == x["lid"] and i in held]
+        middle = math.ceil(sorted(c / s for s, c in own)[math.ceil(0.5 * len(own)) - 1] * quality.GRID) / quality.GRID
+        upper = sorted((c + quality.PRIOR * middle) / (s + quality.PRIOR) for s, c in own)[math.ceil(quality.UPPER * len(own)) - 1]
+        assert x["middle"] == pytest.approx(middle) and x["upper"] == pytest.approx(math.ceil(upper * quality.GRID) / quality.GRID)
+
+
 def word_shingles(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
