@@ -39,9 +39,11 @@ def _folds() -> tuple[str, str]:
 
 
 def fold_accents(text: Column) -> Column:
-    """Sharp s to ss, accents off, typographic apostrophes to plain ones."""
+    """Sharp s to ss, accents off, typographic apostrophes to plain ones; plain ASCII stays as it is."""
+    plain = text
     text = F.replace(F.replace(text, F.lit("ß"), F.lit("ss")), F.lit("ẞ"), F.lit("SS"))
-    return F.replace(F.translate(text, *_folds()), F.lit("’"), F.lit("'"))
+    folded = F.replace(F.translate(text, *_folds()), F.lit("’"), F.lit("'"))
+    return F.when(F.regexp_like(plain, F.lit(r"[^\x00-\x7F]")), folded).otherwise(plain)
 
 
 def _class(characters: str) -> str:
@@ -51,9 +53,7 @@ def _class(characters: str) -> str:
 def scan_words(text: Column) -> Column:
     """Apostrophes out, separators to single spaces, lower case; a segment without a letter, digit or _ swallows the space behind it."""
     spaced = F.regexp_replace(F.replace(text, F.lit("'"), F.lit("")), f"[{SPACE}{_class(SEPARATORS)}]+", " ")
-    parts = F.split(F.lower(F.trim(spaced)), " ")
-    glued = F.transform(parts, lambda p: F.when(F.regexp_like(p, F.lit(r"[\p{L}\p{N}_]")), F.concat(p, F.lit(" "))).otherwise(p))
-    return F.rtrim(F.array_join(glued, ""))
+    return F.rtrim(F.regexp_replace(F.lower(F.trim(spaced)), r"(?<![^ ])([^\p{L}\p{N}_ ]+) ", "$1"))
 
 
 def normalize_core(text: Column) -> Column:
@@ -123,6 +123,28 @@ def language_handler(text: Column) -> Column:
     return F.when(F.length(text) == 0, "english").when((c >= e) & (c >= 0.8), "cjk").when((e > c) & (e >= 0.8), "english").otherwise("mixed")
 
 
+def page_handlers(df):
+    """``page_id, handler`` of pages from their ``lines(page_id, text)``: counts of each line, added up by page."""
+    n = F.count("*") - 1  # the lines are joined by spaces, which count as English
+    c, e, size = F.sum(F.regexp_count("text", F.lit(f"[{CJK}]"))), F.sum(F.regexp_count("text", F.lit("[A-Za-z0-9 .,]"))) + n, F.sum(F.length("text")) + n
+    out = df.groupBy("page_id").agg(c.alias("c"), e.alias("e"), size.alias("n"))
+    cjk, english = F.col("c") / F.col("n"), F.col("e") / F.col("n")
+    kind = F.when(F.col("n") <= 0, "english").when((cjk >= english) & (cjk >= 0.8), "cjk").when((english > cjk) & (english >= 0.8), "english").otherwise("mixed")
+    return out.select("page_id", kind.alias("handler"))
+
+
+def tokenize(handler: Column, text: Column) -> Column:
+    """Characters of CJK pages, words of all others."""
+    return F.when(handler == "cjk", tokenize_characters(text)).otherwise(tokenize_words(text))
+
+
+def join_words(handler: Column, words: Column, text=lambda w: w["text"]) -> Column:
+    """Each word with what stands between it and the next: nothing between CJK words of pages that are not English."""
+    last = F.size(words) - 1
+    gap = lambda w, k: F.when(k < last, F.when(needs_space(handler, text(w), text(F.get(words, k + 1))), " ").otherwise("")).otherwise("")
+    return F.when(handler == "english", F.transform(words, lambda w, k: F.concat(text(w), F.when(k < last, " ").otherwise("")))).otherwise(F.transform(words, lambda w, k: F.concat(text(w), gap(w, k))))
+
+
 def needs_space(handler: Column, left: Column, right: Column) -> Column:
     both = F.regexp_like(left, F.lit(f"[{CJK}]")) & F.regexp_like(right, F.lit(f"[{CJK}]"))
     return (handler == "english") | ~both

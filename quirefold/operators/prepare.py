@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirefold.functions import text as T
+from quirefold.shared import materialize
 
 
 def vocabulary(tokens: DataFrame) -> DataFrame:
@@ -39,9 +40,12 @@ def line_repair(boxes: DataFrame, tokens: DataFrame) -> DataFrame:
 
     First the words between two known ones and at the start of a line, then, on the repaired keys, those at the end.
     """
+    # both sides are read several times
+    boxes, tokens = materialize(boxes, "repair-boxes"), materialize(tokens, "repair-tokens")
     vocab = vocabulary(tokens).withColumnRenamed("tok", "norm").withColumn("known", F.lit(True))
     step = Window.partitionBy("page_id", "line_no").orderBy("pos")
     tri = tokens.select("page_id", F.lag("tok").over(step).alias("a"), F.col("tok").alias("b"), F.lead("tok").over(step).alias("c")).where("a is not null and c is not null").distinct()
+    tri = materialize(tri, "repair-triples")
     only = lambda keys, word: tri.groupBy("page_id", *keys).agg(F.min(word).alias("fix"), F.count_distinct(word).alias("n")).where("n = 1").drop("n")
     row = Window.partitionBy("page_id", "line_id").orderBy("index")
 
@@ -58,11 +62,11 @@ def line_repair(boxes: DataFrame, tokens: DataFrame) -> DataFrame:
     middle = now.where("not known and p1_known and n1_known").join(only(["a", "c"], "b").withColumnsRenamed({"a": "p1", "c": "n1"}), ["page_id", "p1", "n1"])
     first = now.where("not known and p1 is null and n_line >= 3 and n1_known and n2_known").join(only(["b", "c"], "a").withColumnsRenamed({"b": "n1", "c": "n2"}), ["page_id", "n1", "n2"])
     fixes = middle.select("page_id", "index", "fix").unionByName(first.select("page_id", "index", "fix"))
-    one = lined.join(fixes, ["page_id", "index"], "left").withColumn("norm", F.coalesce("fix", "norm")).withColumnRenamed("fix", "fix1")
+    one = lined.join(fixes, ["page_id", "index"], "left").withColumn("was", F.col("norm")).withColumn("norm", F.coalesce("fix", "norm")).withColumnRenamed("fix", "fix1")
     last = around(one).where("not known and n1 is null and n_line >= 3 and p1_known and p2_known").join(only(["a", "b"], "c").withColumnsRenamed({"a": "p2", "b": "p1"}), ["page_id", "p2", "p1"])
     two = one.join(last.select("page_id", "index", "fix"), ["page_id", "index"], "left")
     suggested = F.coalesce("fix", "fix1")
-    two = two.withColumn("suggested", suggested).withColumn("norm", F.coalesce("fix", "norm")).withColumn("edits", F.when(suggested.isNotNull(), F.levenshtein(F.lower("text"), suggested))).drop("fix", "fix1")
+    two = two.withColumn("suggested", suggested).withColumn("norm", F.coalesce("fix", "norm")).withColumn("edits", F.when(suggested.isNotNull(), F.levenshtein("was", suggested))).drop("fix", "fix1", "was")
     return two.unionByName(rest.withColumn("suggested", F.lit(None).cast("string")).withColumn("edits", F.lit(None).cast("int")))
 
 
@@ -118,9 +122,20 @@ def rtl_repair(words: DataFrame) -> DataFrame:
     return runs.select("page_id", (F.row_number().over(key) - 1).alias("index"), "line_id", F.when(F.col("rtl"), F.reverse("text")).otherwise(F.col("text")).alias("text"))
 
 
-def chains(tokens: DataFrame, index: DataFrame) -> DataFrame:
-    """``page_id, line_no, pos, tok, cands``: candidates of each token; null where the word is missing."""
-    return tokens.join(index, (tokens["page_id"] == index["page_id"]) & (tokens["tok"] == index["norm"]), "left").select(tokens["page_id"], "line_no", "pos", "tok", "cands")
+def chains(tokens: DataFrame, boxes: DataFrame) -> DataFrame:
+    """``page_id, line_no, pos, tok, cands``: the number of boxes that each token may be; null where the word is missing.
+
+    Which boxes they are is for the kernel, which has a page's boxes at hand; to copy them to each token would be
+    quadratic in a frequent word.
+    """
+    counts = boxes.groupBy("page_id", "norm").agg(F.count("*").alias("cands")).withColumnRenamed("norm", "tok")
+    return tokens.select("page_id", "line_no", "pos", "tok").join(counts, ["page_id", "tok"], "left")
+
+
+def missing(tokens: DataFrame, boxes: DataFrame) -> DataFrame:
+    """The tokens that no box is."""
+    known = boxes.select("page_id", F.col("norm").alias("tok")).distinct()
+    return tokens.join(known, ["page_id", "tok"], "left_anti")
 
 
 def hole_budget(chain: DataFrame, share: float = 0.2) -> DataFrame:
@@ -131,10 +146,10 @@ def hole_budget(chain: DataFrame, share: float = 0.2) -> DataFrame:
 
 
 def islands(boxes: DataFrame) -> DataFrame:
-    """Boxes with ``island``: runs of one line (or of consecutive positions without lines) without a vertical gap."""
+    """Boxes with ``island``: runs without a vertical gap, of one line, or of consecutive positions where a box has no line."""
     order = Window.partitionBy("page_id").orderBy("index")
     prev = lambda c: F.lag(c).over(order)
-    same = F.when(F.col("line_id").isNotNull() | prev("line_id").isNotNull(), F.col("line_id").eqNullSafe(prev("line_id"))).otherwise(F.col("index") == prev("index") + 1)
+    same = F.when(F.col("line_id").isNotNull() & prev("line_id").isNotNull(), F.col("line_id") == prev("line_id")).otherwise(F.col("index") == prev("index") + 1)
     close = F.col("top") - (prev("top") + prev("height")) <= 1.5 * F.greatest("height", prev("height"))
     cut = F.when(prev("index").isNull() | ~(same & close), 1).otherwise(0)
     return boxes.withColumn("cut", cut).withColumn("island", F.sum("cut").over(order)).drop("cut")

@@ -72,8 +72,8 @@ def split_paragraph(text: str) -> list[str]:
 
 
 class Page:
-    def __init__(self, boxes: list[Box], lines: list[Line], config: SorterConfig, normalize):
-        self.config, self.lines, self.normalize = config, lines, normalize
+    def __init__(self, boxes: list[Box], lines: list[Line], config: SorterConfig, normalize, characters: bool = False):
+        self.config, self.lines, self.normalize, self.characters = config, lines, normalize, characters
         self.boxes = {b.index: b for b in boxes}
         self.geometry = Geometry(config.reading_order, config.column_jump_penalty)
         self.free: dict[str, list[int]] = {}
@@ -81,7 +81,7 @@ class Page:
             if " " not in b.norm:
                 self.free.setdefault(b.norm, []).append(b.index)
         self.claimed: set[int] = set()
-        self.stats = dict.fromkeys(("passes", "permutations", "lines_found", "lines_split", "holes_filled", "anchored", "reconciled", "blanks_found"), 0)
+        self.stats = dict.fromkeys(("passes", "permutations", "lines_found", "lines_split", "holes_bridged", "holes_filled", "holes_empty", "anchored", "reconciled", "blanks_found"), 0)
 
     def candidates(self, word: str) -> list[int]:
         return [i for i in self.free.get(word, ()) if i not in self.claimed]
@@ -182,6 +182,10 @@ class Page:
 
     # lines
 
+    def tokens(self, key: str) -> list[str]:
+        """Of a normalized text: its characters on CJK pages, its words on all others."""
+        return [c for c in key if not c.isspace()] if self.characters else key.split()
+
     def chain(self, words: list[str]) -> tuple[list[list[int] | None], set[str]]:
         """Candidates of each word; missing words are holes if there are few enough, and are returned otherwise."""
         known = {w: self.candidates(w) for w in dict.fromkeys(words)}
@@ -195,21 +199,22 @@ class Page:
         return cands, set(missing)
 
     def split_line(self, line: Line, missing: set[str]) -> None:
-        self.stats["lines_split"] += 1
+        """At a sentence end, or else at the missing words; a line of which nothing but itself comes out stays."""
         parts = split_paragraph(line.text)
         if len(parts) == 1 and missing:
-            parts, held = [], []
-            for word in line.text.split():
-                keys = self.normalize(word).split()
+            parts, held, glue = [], [], "" if self.characters else " "
+            for word in line.text if self.characters else line.text.split():
+                keys = self.tokens(self.normalize(word))
                 if keys and keys[0] in missing:
-                    parts.append(" ".join(held))
+                    parts.append(glue.join(held))
                     held = []
                 else:
                     held.append(word)
-            parts.append(" ".join(held))
-        made = [Line(line.number, p, t) for p in parts if (t := self.normalize(p).split())]
-        if len(made) == 1 and made[0].tokens == line.tokens:
+            parts.append(glue.join(held))
+        made = [Line(line.number, p, t) for p in parts if (t := self.tokens(self.normalize(p)))]
+        if not made or (len(made) == 1 and made[0].tokens == line.tokens):
             return
+        self.stats["lines_split"] += 1
         line.split = True
         self.lines.extend(made)
 
@@ -236,25 +241,32 @@ class Page:
         return min(close, key=lambda p: self.distance_to(anchors, p.nodes))
 
     def fill_holes(self, path: Path, words: list[str]) -> None:
-        """Boxes of the same longer word that fit between the neighbours of a hole."""
-        taken = {n for n in path.nodes if n != HOLE}
+        """Free boxes between the nearest real neighbours of a hole: on their line, in order, the tightest first.
+
+        Words of ``MIN_FILL`` characters or more must be the box's own; shorter ones go by place alone.
+        """
+        g, taken = self.geometry, {n for n in path.nodes if n != HOLE}
         for k, node in enumerate(path.nodes):
-            if node != HOLE or k in (0, len(path.nodes) - 1) or len(words[k]) < MIN_FILL:
-                continue
-            a, b = path.nodes[k - 1], path.nodes[k + 1]
-            if HOLE in (a, b):
+            if node != HOLE:
                 continue
+            before = next((n for n in reversed(path.nodes[:k]) if n != HOLE), None)
+            after = next((n for n in path.nodes[k + 1 :] if n != HOLE), None)
             fits = []
-            for i, box in self.boxes.items():
-                if i in self.claimed or i in taken or box.norm != words[k]:
-                    continue
-                x, y = self.step(self.boxes[a], box, 0), self.step(box, self.boxes[b], 0)
-                if x is not None and y is not None:
-                    fits.append((x + y, i))
+            if before is not None and after is not None:
+                a, b = self.boxes[before], self.boxes[after]
+                names = [words[k]] if len(words[k]) >= MIN_FILL else list(self.free)
+                for i in (i for name in names for i in self.free.get(name, ())):
+                    if i in self.claimed or i in taken:
+                        continue
+                    box = self.boxes[i]
+                    if g.same_line(a, box) and g.sequential(a, box) and g.same_line(box, b) and g.sequential(box, b):
+                        fits.append((g.gap(a, box) + g.gap(box, b), i))
             if fits:
                 path.nodes[k] = min(fits)[1]
                 taken.add(path.nodes[k])
                 self.stats["holes_filled"] += 1
+            else:
+                self.stats["holes_empty"] += 1
 
     def accept(self, line: Line, path: Path) -> None:
         line.found, line.path = True, path.nodes
@@ -295,6 +307,7 @@ class Page:
                     continue
                 path = self.rerank(line, paths) if c.enable_anchoring and len(words) < c.min_words_for_early_passes else paths[0]
                 if c.enable_holes:
+                    self.stats["holes_bridged"] += path.nodes.count(HOLE)
                     self.fill_holes(path, words)
                 self.accept(line, path)
                 hits += 1
@@ -358,19 +371,27 @@ def _plain_normalize(cache: dict[str, str]):
     return lambda text: " ".join(filter(None, (cache.get(w, "") for w in text.split())))
 
 
-MATCHES = "page_id long, line_no int, part int, original string, found boolean, split boolean, is_blank boolean, path array<int>"
+def _character_normalize(cache: dict[str, str]):
+    return lambda text: "".join(cache.get(c, "") for c in text)
+
+
+COUNTS = ("passes", "lines_split", "lines_reconciled", "holes_bridged", "holes_filled")
+MATCHES = "page_id long, line_no int, part int, original string, found boolean, split boolean, is_blank boolean, path array<int>, counts array<long>, elapsed_ms long"
 
 
 def match_pages(boxes: DataFrame, lines: DataFrame, words: DataFrame, config: SorterConfig) -> DataFrame:
     """Matched lines of every page: ``MATCHES``.
 
     ``boxes`` are normalized, ``lines(page_id, line_no, text, norm, is_blank)``, ``words(page_id, word, key)`` gives the
-    normalized form of each word of the lines. A ``reading_order`` of the boxes overrules the config's, page by page.
+    normalized form of each word of the lines, of each character where ``handler`` says that the page is CJK. A
+    ``reading_order`` of the boxes overrules the config's, page by page. The first row of a page has the page's
+    ``counts`` of the search (``COUNTS``) and its milliseconds.
     """
     config = config.validate()
     order = F.max("reading_order") if "reading_order" in boxes.columns else F.lit(int(config.reading_order))
     packed = boxes.groupBy("page_id").agg(order.alias("reading_order"), F.collect_list(F.struct("left", "top", "width", "height", "page_width", "page_height", "index", "text", "norm", "line_id")).alias("boxes"))
-    text = lines.groupBy("page_id").agg(F.collect_list(F.struct("line_no", "text", "norm", "is_blank")).alias("lines"))
+    kind = F.max("handler") if "handler" in lines.columns else F.lit("english")
+    text = lines.groupBy("page_id").agg(kind.alias("handler"), F.collect_list(F.struct("line_no", "text", "norm", "is_blank")).alias("lines"))
     keys = words.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "key"))).alias("keys"))
     pages = text.join(packed, "page_id", "left").join(keys, "page_id", "left")
     # a page is much work for few bytes: sizes say nothing about how many tasks it takes
@@ -381,18 +402,19 @@ def match_pages(boxes: DataFrame, lines: DataFrame, words: DataFrame, config: So
             out = []
             for page in rows.itertuples(index=False):
                 got = [] if page.boxes is None else [Box(**b) for b in page.boxes]
-                own = [Line(x["line_no"], x["text"], x["norm"].split(), x["is_blank"]) for x in sorted(page.lines, key=lambda x: x["line_no"])]
+                began = time.perf_counter()
+                characters, keys = page.handler == "cjk", dict(page.keys or {})
+                cut = (lambda key: [c for c in key if not c.isspace()]) if characters else str.split
+                own = [Line(x["line_no"], x["text"], cut(x["norm"]), x["is_blank"]) for x in sorted(page.lines, key=lambda x: x["line_no"])]
                 settings = config if page.boxes is None else replace(config, reading_order=ReadingOrder(int(page.reading_order)))
-                done = Page(got, own, settings, _plain_normalize(dict(page.keys or {}))).run()
+                done = Page(got, own, settings, (_character_normalize if characters else _plain_normalize)(keys), characters).run()
+                stats = [done.stats["reconciled" if c == "lines_reconciled" else c] for c in COUNTS]
+                spent = int(1000 * (time.perf_counter() - began))
                 counts: dict[int, int] = {}
                 for line in done.lines:
                     counts[line.number] = counts.get(line.number, -1) + 1
-                    out.append((page.page_id, line.number, counts[line.number], line.text, line.found, line.split, line.blank, line.path))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in MATCHES.split(", ")])
+                    out.append((page.page_id, line.number, counts[line.number], line.text, line.found, line.split, line.blank, line.path, stats, spent))
+                    stats = spent = None
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in MATCHES.split(", ")]).astype({"elapsed_ms": "Int64"})
 
     return pages.mapInPandas(run, MATCHES)
-
-
-def elapsed(run) -> tuple[object, float]:
-    start = time.perf_counter()
-    return run(), time.perf_counter() - start

@@ -46,9 +46,18 @@ def line_tokens(docs: DataFrame) -> DataFrame:
     return lines(docs).select("page_id", "line_no", F.posexplode(T.tokenize_words(F.col("norm"))).alias("pos", "tok"))
 
 
+def keyed(rows: DataFrame, word: str = "text", key: str = "norm") -> DataFrame:
+    """``rows`` with the key of their ``word``: each distinct word is normalized once, and joined back.
+
+    A word may be a third of all rows, so the few words are joined by their measured size, or by a join that splits skew.
+    """
+    names = rows.select(F.col(word).alias("_word")).distinct().select("_word", T.normalize_core(F.col("_word")).alias(key))
+    return rows.join(names, rows[word] == names["_word"]).drop("_word")
+
+
 def normalized(boxes: DataFrame) -> DataFrame:
     """Boxes with their key; those that normalize to blank go."""
-    return boxes.withColumn("norm", T.normalize_core(F.col("text"))).where("norm <> ''")
+    return keyed(boxes).where("norm <> ''")
 
 
 #: The same tables for DuckDB.
@@ -64,10 +73,10 @@ def sql_normalize(col: str) -> str:
 SQL_WORDS = "words AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r]+'), lambda x: x <> '') AS w FROM documents))"
 SQL_BLOCKS = (
     SQL_WORDS
-    + """, boxes AS (SELECT doc_id AS page_id, pos AS index, CASE WHEN (doc_id * 7 + pos * 13) % 50 = 0 THEN word || '~x' ELSE word END AS text,
+    + """, boxes AS MATERIALIZED (SELECT doc_id AS page_id, pos AS index, CASE WHEN (doc_id * 7 + pos * 13) % 50 = 0 THEN word || '~x' ELSE word END AS text,
  (50 + 90 * (pos % 10)) / 1000::DOUBLE AS "left", (50 + 30 * (pos // 10)) / 1000::DOUBLE AS top, 80 / 1000::DOUBLE AS width, 20 / 1000::DOUBLE AS height,
  CAST(pos // 10 AS VARCHAR) AS line_id, (doc_id * 31 + pos * 17) % 100 AS conf FROM words WHERE (doc_id * 11 + pos * 19) % 97 <> 0)"""
 )
-SQL_NORM_BLOCKS = SQL_BLOCKS + f", nb AS (SELECT * FROM (SELECT *, {sql_normalize('text')} AS norm FROM boxes) WHERE norm <> '')"
+SQL_NORM_BLOCKS = SQL_BLOCKS + f", nb AS MATERIALIZED (SELECT b.*, n.norm FROM boxes b JOIN (SELECT text, {sql_normalize('text')} AS norm FROM (SELECT DISTINCT text FROM boxes)) n ON b.text = n.text WHERE n.norm <> '')"
 SQL_LINES = f"lines AS (SELECT doc_id AS page_id, line_no, text, {sql_normalize('text')} AS norm, trim(text) = '' AS is_blank FROM (SELECT doc_id, unnest(l) AS text, unnest(range(len(l))) AS line_no FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)))"
-SQL_TOKENS = SQL_LINES + ", toks AS (SELECT page_id, line_no, unnest(t) AS tok, unnest(range(len(t))) AS pos FROM (SELECT page_id, line_no, list_filter(string_split(norm, ' '), lambda x: x <> '') AS t FROM lines))"
+SQL_TOKENS = SQL_LINES + ", toks AS MATERIALIZED (SELECT page_id, line_no, unnest(t) AS tok, unnest(range(len(t))) AS pos FROM (SELECT page_id, line_no, list_filter(string_split(norm, ' '), lambda x: x <> '') AS t FROM lines))"

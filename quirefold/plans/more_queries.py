@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quirefold.functions import text as T
-from quirefold.operators import evaluate, prepare
+from quirefold.operators import assemble, evaluate, prepare
 from quirefold.plans import layout as L
 from quirefold.plans.queries import docs, long, query, text
 from quirefold.sources import engines
@@ -59,22 +59,24 @@ def poppler_scan(spark, sf):
 
 
 @query("WITH " + L.SQL_LINES + """, f AS (SELECT page_id, line_no FROM lines WHERE NOT is_blank AND line_no % 3 = 0), t AS (SELECT page_id, line_no FROM lines WHERE NOT is_blank AND line_no % 3 <> 0),
- d AS (SELECT t.page_id, t.line_no, f.line_no AS anchor, rank() OVER (PARTITION BY t.page_id, t.line_no ORDER BY abs(t.line_no - f.line_no)) AS r FROM t JOIN f ON t.page_id = f.page_id AND abs(t.line_no - f.line_no) <= 50)
+ d AS (SELECT t.page_id, t.line_no, f.line_no AS anchor, rank() OVER (PARTITION BY t.page_id, t.line_no ORDER BY abs(t.line_no - f.line_no)) AS r FROM t JOIN f ON t.page_id = f.page_id)
  SELECT page_id, CAST(line_no AS INT) AS line_no, CAST(anchor AS INT) AS anchor FROM d WHERE r = 1""")
 def anchor_nearest(spark, sf):
-    """Nearest found lines of the others, ties kept; here every third line counts as found."""
+    """Nearest found lines of the others, ties kept; here every third line counts as found. A page without any gives none."""
     lines = L.lines(docs(spark, sf)).where("not is_blank").select("page_id", "line_no")
-    found = lines.where("line_no % 3 = 0").select("page_id", F.col("line_no").alias("anchor"))
-    near = lines.where("line_no % 3 <> 0").join(found, "page_id").where("abs(line_no - anchor) <= 50")
-    return near.withColumn("r", F.rank().over(Window.partitionBy("page_id", "line_no").orderBy(F.abs(F.col("line_no") - F.col("anchor"))))).where("r = 1").select("page_id", "line_no", "anchor")
-
-
-@query("WITH " + L.SQL_LINES + """, b AS (SELECT page_id, min(line_no) AS lo, max(line_no) AS hi FROM lines WHERE NOT is_blank GROUP BY page_id)
- SELECT l.page_id, CAST(l.line_no AS INT) AS line_no FROM lines l JOIN b ON l.page_id = b.page_id AND l.line_no > lo AND l.line_no < hi WHERE l.is_blank
- AND EXISTS (SELECT 1 FROM lines f WHERE f.page_id = l.page_id AND NOT f.is_blank AND abs(f.line_no - l.line_no) BETWEEN 1 AND 5)""")
+    up = Window.partitionBy("page_id").orderBy("line_no")
+    found = F.when(F.col("line_no") % 3 == 0, F.col("line_no"))
+    # the last found line before and the first one behind, without a limit on how far they are
+    near = lines.withColumn("before", F.last(found, ignorenulls=True).over(up)).withColumn("after", F.first(found, ignorenulls=True).over(up.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    near = near.where("line_no % 3 <> 0").withColumn("least", F.least(F.col("line_no") - F.col("before"), F.col("after") - F.col("line_no")))
+    both = near.select("page_id", "line_no", "least", F.explode(F.array("before", "after")).alias("anchor"))
+    return both.where("abs(line_no - anchor) = least").select("page_id", "line_no", "anchor")
+
+
+@query("WITH " + L.SQL_WORDS + """, l AS (SELECT doc_id AS page_id, pos AS line_no, pos % 9 NOT IN (0, 1) AS is_blank FROM words), b AS (SELECT page_id, min(line_no) AS lo, max(line_no) AS hi FROM l WHERE NOT is_blank GROUP BY page_id)
+ SELECT l.page_id, CAST(l.line_no AS INT) AS line_no FROM l JOIN b ON l.page_id = b.page_id AND l.line_no > lo AND l.line_no < hi WHERE l.is_blank
+ AND (l.line_no % 9 IN (2, 3, 4, 5, 6) OR l.line_no % 9 IN (4, 5, 6, 7, 8))""")
 def blank_line_rescue(spark, sf):
-    lines = L.lines(docs(spark, sf)).select("page_id", "line_no", "is_blank")
-    found = lines.where("not is_blank").select("page_id", F.col("line_no").alias("f"))
-    ends = found.groupBy("page_id").agg(F.min("f").alias("lo"), F.max("f").alias("hi"))
-    inside = lines.where("is_blank").join(ends, "page_id").where("line_no > lo and line_no < hi").select("page_id", "line_no")
-    return inside.join(found, (inside["page_id"] == found["page_id"]) & (F.abs(inside["line_no"] - found["f"]).between(1, 5)), "left_semi")
+    """Words as lines, of which two of nine hold text: blank ones between found ones, with a found one within five lines."""
+    words = docs(spark, sf).select(F.col("doc_id").alias("page_id"), F.posexplode(T.tokenize_words(text())).alias("line_no", "word"))
+    return assemble.rescued_blanks(words.select("page_id", "line_no", (~(F.col("line_no") % 9).isin(0, 1)).alias("is_blank")))

@@ -88,7 +88,7 @@ _PAIRS = "(VALUES ('中', '文'), ('a', '文'), ('文', 'b'), ('a', 'b'), ('カ'
 
 @query(f"SELECT h AS handler, l, r, h = 'english' OR NOT (regexp_matches(l, '[{T.CJK}]') AND regexp_matches(r, '[{T.CJK}]')) AS needs FROM {_PAIRS}, (VALUES ('english'), ('cjk'), ('mixed')) AS hs(h)")
 def needs_space_pairs(spark, sf):
-    pairs = spark.sql(f"SELECT h AS handler, l, r FROM VALUES ('english'), ('cjk'), ('mixed') AS hs(h), {_PAIRS.strip('()').replace(') AS p(l, r', ' AS p(l, r)')}" if False else "SELECT h AS handler, l, r FROM VALUES ('english'), ('cjk'), ('mixed') AS hs(h) CROSS JOIN VALUES ('中', '文'), ('a', '文'), ('文', 'b'), ('a', 'b'), ('カ', '字'), ('', 'x') AS p(l, r)")
+    pairs = spark.sql("SELECT h AS handler, l, r FROM VALUES ('english'), ('cjk'), ('mixed') AS hs(h) CROSS JOIN VALUES ('中', '文'), ('a', '文'), ('文', 'b'), ('a', 'b'), ('カ', '字'), ('', 'x') AS p(l, r)")
     return pairs.withColumn("needs", T.needs_space(F.col("handler"), F.col("l"), F.col("r")))
 
 
@@ -143,8 +143,8 @@ def easyocr_scan(spark, sf):
 
 @query("WITH " + L.SQL_BLOCKS + ', ok AS (SELECT page_id FROM boxes GROUP BY page_id HAVING max(top) <= 1) SELECT page_id, index AS pos, text, line_id FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY index) - 1 AS rn FROM boxes) JOIN ok USING (page_id)'.replace("index AS pos", "CAST(rn AS BIGINT) AS pos"))
 def blocks_scan_validated(spark, sf):
-    item = F.struct("text", "left", "top", "width", "height", (F.col("conf") / 100.0).alias("confidence"), "line_id", F.lit("").alias("extractor"))
-    out = S.read("blocks", _requests(spark, sf, item, lambda a: F.struct(a.alias("blocks"))))
+    item = F.struct("text", F.struct("left", "top", "width", "height").alias("bounds"), (F.col("conf") / 100.0).alias("normalized_conf"), "line_id", F.lit("").alias("engine"))
+    out = S.read("blocks", _requests(spark, sf, item, lambda a: a))
     return out.select("page_id", long(F.col("index")).alias("pos"), "text", "line_id")
 
 
@@ -152,8 +152,7 @@ def blocks_scan_validated(spark, sf):
  SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY index) - 1 AS BIGINT) AS pos, text, round(c, 6) AS confidence, CAST(n AS VARCHAR) AS line_id FROM boxes JOIN l USING (page_id, line_id)""")
 def apple_scan(spark, sf):
     boxes = L.blocks(docs(spark, sf))
-    rect = F.struct("left", "top", "width", "height").alias("rect")
-    word = F.struct("index", F.struct("text", F.lit(0.0).alias("confidence"), rect).alias("w"))
+    word = F.struct("index", F.struct("text", "left", "top", "width", "height", F.lit(0.0).alias("confidence")).alias("w"))
     by_line = boxes.groupBy("page_id", F.col("line_id").cast("int").alias("n")).agg(F.avg(F.col("conf") / 100.0).alias("c"), F.sort_array(F.collect_list(word)).alias("ws"))
     line = F.struct("n", F.struct(F.lit("").alias("text"), F.col("c").alias("confidence"), F.transform("ws", lambda x: x["w"]).alias("words")).alias("l"))
     rows = by_line.groupBy("page_id").agg(F.sort_array(F.collect_list(line)).alias("ls"))
@@ -189,17 +188,18 @@ _CHAIN = "WITH " + L.SQL_NORM_BLOCKS + ", " + L.SQL_TOKENS + ", idx AS (SELECT p
 
 def _chain(spark, sf) -> DataFrame:
     d = docs(spark, sf)
-    return P.chains(L.line_tokens(d), P.word_index(L.normalized(L.blocks(d))))
+    return P.chains(L.line_tokens(d), L.normalized(L.blocks(d)))
 
 
 @query(_CHAIN + " SELECT page_id, CAST(line_no AS INT) AS line_no, CAST(sum(coalesce(k, 0)) AS BIGINT) AS n_candidates FROM chain GROUP BY page_id, line_no")
 def chain_candidates(spark, sf):
-    return _chain(spark, sf).groupBy("page_id", "line_no").agg(long(F.sum(F.coalesce(F.size("cands"), F.lit(0)))).alias("n_candidates")).withColumn("n_candidates", F.greatest("n_candidates", F.lit(0)))
+    return _chain(spark, sf).groupBy("page_id", "line_no").agg(long(F.sum(F.coalesce("cands", F.lit(0)))).alias("n_candidates"))
 
 
 @query(_CHAIN + " SELECT page_id, CAST(line_no AS INT) AS line_no, CAST(pos AS INT) AS pos, tok FROM chain WHERE k IS NULL")
 def chain_missing(spark, sf):
-    return _chain(spark, sf).where("cands is null").select("page_id", "line_no", "pos", "tok")
+    d = docs(spark, sf)
+    return P.missing(L.line_tokens(d), L.normalized(L.blocks(d))).select("page_id", "line_no", "pos", "tok")
 
 
 @query(_CHAIN + " SELECT page_id, CAST(line_no AS INT) AS line_no, n, missing, missing > 0 AND missing <= floor(n * 0.2) AND n - missing >= 2 AS holes_allowed FROM (SELECT page_id, line_no, count(*) AS n, count(*) FILTER (k IS NULL) AS missing FROM chain GROUP BY page_id, line_no)")
@@ -287,15 +287,15 @@ def no_canonical_resegment(spark, sf):
     return P.resegment(w).withColumn("line_no", long(F.col("line_no")))
 
 
-@query("WITH " + L.SQL_NORM_BLOCKS + ", " + L.SQL_TOKENS + """, tri AS (SELECT DISTINCT page_id, lag(tok) OVER w AS a, tok AS b, lead(tok) OVER w AS c FROM toks WINDOW w AS (PARTITION BY page_id, line_no ORDER BY pos)),
- v AS (SELECT DISTINCT page_id, tok FROM toks), n0 AS (SELECT nb.page_id, index, line_id, norm, v.tok IS NOT NULL AS known FROM nb LEFT JOIN v ON nb.page_id = v.page_id AND nb.norm = v.tok),
- ctx AS (SELECT *, count(*) OVER (PARTITION BY page_id, line_id) AS n, lag(norm) OVER w AS p1, lead(norm) OVER w AS n1, lead(norm, 2) OVER w AS n2, lag(known) OVER w AS k1, lead(known) OVER w AS l1, lead(known, 2) OVER w AS l2 FROM n0 WINDOW w AS (PARTITION BY page_id, line_id ORDER BY index)),
+@query("WITH " + L.SQL_NORM_BLOCKS + ", " + L.SQL_TOKENS + """, tri AS MATERIALIZED (SELECT DISTINCT page_id, lag(tok) OVER w AS a, tok AS b, lead(tok) OVER w AS c FROM toks WINDOW w AS (PARTITION BY page_id, line_no ORDER BY pos)),
+ v AS MATERIALIZED (SELECT DISTINCT page_id, tok FROM toks), n0 AS MATERIALIZED (SELECT nb.page_id, index, line_id, norm, v.tok IS NOT NULL AS known FROM nb LEFT JOIN v ON nb.page_id = v.page_id AND nb.norm = v.tok),
+ ctx AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY page_id, line_id) AS n, lag(norm) OVER w AS p1, lead(norm) OVER w AS n1, lead(norm, 2) OVER w AS n2, lag(known) OVER w AS k1, lead(known) OVER w AS l1, lead(known, 2) OVER w AS l2 FROM n0 WINDOW w AS (PARTITION BY page_id, line_id ORDER BY index)),
  mid AS (SELECT page_id, a, c, min(b) AS fix FROM tri WHERE a IS NOT NULL AND c IS NOT NULL GROUP BY page_id, a, c HAVING count(DISTINCT b) = 1),
  fst AS (SELECT page_id, b, c, min(a) AS fix FROM tri WHERE a IS NOT NULL AND c IS NOT NULL GROUP BY page_id, b, c HAVING count(DISTINCT a) = 1),
  lst AS (SELECT page_id, a, b, min(c) AS fix FROM tri WHERE a IS NOT NULL AND c IS NOT NULL GROUP BY page_id, a, b HAVING count(DISTINCT c) = 1),
- r1 AS (SELECT x.page_id, index, fix FROM ctx x JOIN mid m ON x.page_id = m.page_id AND p1 = a AND n1 = c WHERE NOT known AND k1 AND l1 UNION ALL SELECT x.page_id, index, fix FROM ctx x JOIN fst m ON x.page_id = m.page_id AND n1 = b AND n2 = c WHERE NOT known AND p1 IS NULL AND n >= 3 AND l1 AND l2),
- one AS (SELECT n0.page_id, n0.index, line_id, coalesce(r1.fix, norm) AS norm, known OR r1.fix IS NOT NULL AS known, r1.fix AS f1 FROM n0 LEFT JOIN r1 ON n0.page_id = r1.page_id AND n0.index = r1.index),
- ctx2 AS (SELECT *, count(*) OVER (PARTITION BY page_id, line_id) AS n, lag(norm) OVER w AS p1, lag(norm, 2) OVER w AS p2, lead(norm) OVER w AS n1, lag(known) OVER w AS k1, lag(known, 2) OVER w AS k2 FROM one WINDOW w AS (PARTITION BY page_id, line_id ORDER BY index)),
+ r1 AS MATERIALIZED (SELECT x.page_id, index, fix FROM ctx x JOIN mid m ON x.page_id = m.page_id AND p1 = a AND n1 = c WHERE NOT known AND k1 AND l1 UNION ALL SELECT x.page_id, index, fix FROM ctx x JOIN fst m ON x.page_id = m.page_id AND n1 = b AND n2 = c WHERE NOT known AND p1 IS NULL AND n >= 3 AND l1 AND l2),
+ one AS MATERIALIZED (SELECT n0.page_id, n0.index, line_id, coalesce(r1.fix, norm) AS norm, known OR r1.fix IS NOT NULL AS known, r1.fix AS f1 FROM n0 LEFT JOIN r1 ON n0.page_id = r1.page_id AND n0.index = r1.index),
+ ctx2 AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY page_id, line_id) AS n, lag(norm) OVER w AS p1, lag(norm, 2) OVER w AS p2, lead(norm) OVER w AS n1, lag(known) OVER w AS k1, lag(known, 2) OVER w AS k2 FROM one WINDOW w AS (PARTITION BY page_id, line_id ORDER BY index)),
  r2 AS (SELECT x.page_id, index, fix FROM ctx2 x JOIN lst m ON x.page_id = m.page_id AND p2 = a AND p1 = b WHERE NOT known AND n1 IS NULL AND n >= 3 AND k1 AND k2)
  SELECT page_id, index, suggested FROM (SELECT one.page_id, one.index, coalesce(r2.fix, f1) AS suggested FROM one LEFT JOIN r2 ON one.page_id = r2.page_id AND one.index = r2.index) WHERE suggested IS NOT NULL""")
 def line_repair(spark, sf):

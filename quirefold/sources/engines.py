@@ -20,8 +20,8 @@ _readers: dict[str, Reader] = {}
 TESSERACT = "struct<words:array<struct<text:string,line_num:int,left:double,top:double,width:double,height:double,conf:double>>>"
 EASYOCR = "struct<results:array<struct<bbox:array<array<double>>,text:string,confidence:double>>>"
 RECT = "struct<left:double,top:double,width:double,height:double>"
-APPLE = f"array<struct<text:string,confidence:double,rect:{RECT},words:array<struct<text:string,confidence:double,rect:{RECT}>>>>"
-NEUTRAL = "struct<blocks:array<struct<text:string,left:double,top:double,width:double,height:double,confidence:double,line_id:string,extractor:string>>>"
+APPLE = "array<struct<text:string,confidence:double,words:array<struct<text:string,left:double,top:double,width:double,height:double,confidence:double>>>>"
+NEUTRAL = f"array<struct<text:string,bounds:{RECT},normalized_conf:double,line_id:string,engine:string>>"
 #: Confidence, in percent, below which a word goes; and a Latin word among complex scripts.
 LEAST, LEAST_LATIN, COMPLEX_SHARE = 20, 50, 0.3
 
@@ -88,22 +88,43 @@ def apple(requests: DataFrame) -> DataFrame:
     parsed = requests.select("page_id", "page_width", "page_height", F.posexplode(F.from_json("input_json", APPLE)).alias("line", "l"))
     words = parsed.select("page_id", "page_width", "page_height", "line", F.col("l.confidence").alias("confidence"), F.posexplode("l.words").alias("k", "w"))
     words = words.withColumn("index", F.row_number().over(Window.partitionBy("page_id").orderBy("line", "k")) - 1).where(F.coalesce("w.text", F.lit("")) != "")
-    words = words.select("page_id", "index", F.col("w.text").alias("text"), *(F.col(f"w.rect.{c}").alias(c) for c in ("left", "top", "width", "height")), "confidence", F.col("line").cast("string").alias("line_id"), "page_width", "page_height")
+    words = words.select("page_id", "index", F.col("w.text").alias("text"), *(F.coalesce(f"w.{c}", F.lit(0.0)).alias(c) for c in ("left", "top", "width", "height")), "confidence", F.col("line").cast("string").alias("line_id"), "page_width", "page_height")
     return _boxes(words, "index", "apple")
 
 
-def _neutral(requests: DataFrame) -> DataFrame:
-    return _exploded(requests, NEUTRAL, lambda j: j["blocks"])
+def apple_files(spark, path: str) -> DataFrame:
+    """One request row ``page_id, input_json`` for each file of that engine's output, numbered by path."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("input_json"))
+    return files.select((F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("page_id"), "path", "input_json")
+
+
+def _outside(box):
+    """A named box whose corner is no fraction of the page. What is not given is 0."""
+    at = lambda c: F.coalesce(box["bounds"][c], F.lit(0.0))
+    return (F.coalesce(box["text"], F.lit("")) != "") & ~(at("left").between(0, 1) & at("top").between(0, 1))
 
 
 @register("blocks")
 def neutral(requests: DataFrame) -> DataFrame:
-    """The neutral format; a page with a corner outside 0 to 1 is refused as a whole."""
-    rows = _neutral(requests)
-    bad = ~(F.col("left").between(0, 1) & F.col("top").between(0, 1)) & (F.coalesce("text", F.lit("")) != "")
-    rows = rows.withColumn("bad", F.max(F.coalesce(bad, F.lit(False))).over(Window.partitionBy("page_id"))).where(~F.col("bad") & (F.coalesce("text", F.lit("")) != ""))
-    rows = rows.withColumn("line_id", F.when(F.col("line_id") != "", F.col("line_id")))
-    return _boxes(rows, "at", F.when(F.coalesce("extractor", F.lit("")) != "", F.col("extractor")).otherwise("blocks"))
+    """The neutral format, an array of boxes in fractions of the page; a page with a corner outside 0 to 1 is refused."""
+    parsed = requests.select("page_id", "page_width", "page_height", F.from_json("input_json", NEUTRAL).alias("j")).where(~F.exists("j", _outside))
+    rows = parsed.select("page_id", "page_width", "page_height", F.posexplode("j").alias("at", "w")).where(F.coalesce("w.text", F.lit("")) != "")
+    rows = rows.select("page_id", "at", F.col("w.text").alias("text"), *(F.coalesce(f"w.bounds.{c}", F.lit(0.0)).alias(c) for c in ("left", "top", "width", "height")), F.coalesce("w.normalized_conf", F.lit(0.0)).alias("confidence"), F.when(F.col("w.line_id") != "", F.col("w.line_id")).alias("line_id"), "w.engine", "page_width", "page_height")
+    return _boxes(rows, "at", F.when(F.coalesce("engine", F.lit("")) != "", F.col("engine")).otherwise("blocks"))
+
+
+def _unreadable(requests: DataFrame):
+    """Whether the named engine must refuse ``input_json``: no JSON of its form, no words at all, a corner off the page."""
+    name, parse = F.lower("engine"), lambda schema: F.from_json("input_json", schema)
+    none = lambda items: F.coalesce(F.size(items), F.lit(0)) < 1
+    boxes = parse(NEUTRAL)
+    return (
+        F.when(name == "tesseract", none(parse(TESSERACT)["words"]))
+        .when(name == "easyocr", none(parse(EASYOCR)["results"]))
+        .when(name == "apple", parse(APPLE).isNull())
+        .when(name == "blocks", boxes.isNull() | F.exists(boxes, _outside))
+        .otherwise(False)
+    )
 
 
 def problems(requests: DataFrame) -> DataFrame:
@@ -116,6 +137,7 @@ def problems(requests: DataFrame) -> DataFrame:
         .when(F.coalesce("page_height", F.lit(0)) <= 0, "page_height")
         .when(F.coalesce(F.size("lines"), F.lit(0)) < 1, "lines")
         .when(F.coalesce(F.trim("input_json"), F.lit("")) == "", "input_json")
+        .when(F.coalesce(_unreadable(requests), F.lit(True)), "input_json")
     )
     return requests.select("page_id", field.alias("field")).where("field is not null")
 

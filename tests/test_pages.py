@@ -5,11 +5,11 @@ from quirefold.streaming import pages
 
 
 def box(text, left, top, width=0.08, line=None):
-    return {"text": text, "left": left, "top": top, "width": width, "height": 0.02, "confidence": 1.0, "line_id": line}
+    return {"text": text, "bounds": {"left": left, "top": top, "width": width, "height": 0.02}, "normalized_conf": 1.0, "line_id": line}
 
 
 def answer(spark, words, lines, language="english"):
-    df = spark.createDataFrame([(1, "blocks", lines, json.dumps({"blocks": words}), 1000, 1000)], pages.REQUESTS)
+    df = spark.createDataFrame([(1, "blocks", lines, json.dumps(words), 1000, 1000)], pages.REQUESTS)
     return respond(df, language).first()
 
 
@@ -27,7 +27,7 @@ def test_vertical_pages_are_read_by_columns(spark):
     text = "春はあけぼのやうやう白くなりゆく山際少し明かりて紫だちたる雲の細くたなびきたる夏は夜月の頃はさらなり"
     for line in (True, False):
         cells = [box(c, 0.9 - 0.05 * (k // 12), 0.05 + 0.03 * (k % 12), 0.02, str(k // 12) if line else None) for k, c in enumerate(text)]
-        df = spark.createDataFrame([(1, "blocks", [" ".join(text[:12]), " ".join(text[12:24])], json.dumps({"blocks": cells}), 1000, 1000)], pages.REQUESTS)
+        df = spark.createDataFrame([(1, "blocks", [" ".join(text[:12]), " ".join(text[12:24])], json.dumps(cells), 1000, 1000)], pages.REQUESTS)
         got = respond(df, "japanese").first()
         assert got["stats"]["lines_found"] == 2
 
@@ -36,7 +36,7 @@ def test_one_line_is_cut_at_sentence_ends(spark):
     text = "One two three four. Five six seven eight! Nine ten of Dr. Smith"
     words = [box(w, 0.05 + 0.09 * (k % 10), 0.05 + 0.03 * (k // 10)) for k, w in enumerate(text.split())]
     got = answer(spark, words, [text])
-    assert got["stats"]["lines"] == 1
+    assert got["stats"]["canonical_lines"] == 1
     assert got["document"]["text"] == "One two three four.\nFive six seven eight!\nNine ten of Dr. Smith"
 
 
