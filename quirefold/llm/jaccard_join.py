@@ -120,14 +120,14 @@ def _first_pass(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held = 0
     for rows in frames:
         n, ids = [], []
-        for s in shingles.shingle_sets(list(rows["text"]), WIDTH):
+        for s in shingles.shingle_sets(rows["text"], WIDTH):
             n.append(len(s))
             ids.append(i := set_ids(s))
             if len(s) and i not in seen:
                 seen.add(i)
                 parts.append(s)
                 held += len(s)
-                if held >= 4_000_000:
+                if held >= 1_000_000:
                     many, held = merged(), 0
         yield pd.DataFrame({"doc_id": rows["doc_id"], "n": n, "sid": [i[0] for i in ids], "sid2": [i[1] for i in ids], "heavy": pd.Series([None] * len(n), dtype="Int64"), "weight": pd.Series([None] * len(n), dtype="Int64")})
     many = merged()
@@ -142,7 +142,7 @@ def _posting_pass(heavy, small: int, moved: dict[tuple[int, int], int]):
         for rows in frames:
             out: list[tuple[np.ndarray, int, int, np.ndarray]] = []
             total = 0
-            for s in shingles.shingle_sets(list(rows["text"]), WIDTH):
+            for s in shingles.shingle_sets(rows["text"], WIDTH):
                 n = len(s)
                 if n == 0 or (i := named(s, moved)) in seen:
                     continue
@@ -160,7 +160,7 @@ def _posting_pass(heavy, small: int, moved: dict[tuple[int, int], int]):
                         first = s[:p]
                     out.append((first.view(np.int64), i, n, np.arange(p, dtype=np.int32)))
                 total += len(out[-1][0])
-                if total > 500_000:
+                if total > 200_000:
                     yield _posting_frame(out)
                     out, total = [], 0
             if out:
@@ -176,10 +176,10 @@ def _posting_frame(out: list) -> pd.DataFrame:
 
 def _compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     unpack = zstandard.ZstdDecompressor()
-    sets = lambda packed: shingles.shingle_sets([unpack.decompress(p).decode("utf-8", "surrogatepass") for p in packed], WIDTH)
+    sets = lambda packed: shingles.shingle_sets((unpack.decompress(p).decode("utf-8", "surrogatepass") for p in packed), WIDTH)
     for rows in frames:
-        for k in range(0, len(rows), 1000):
-            part = rows.iloc[k : k + 1000]
+        for k in range(0, len(rows), 100):
+            part = rows.iloc[k : k + 100]
             own = dict(zip(part["a"], part["text_a"]))
             left = dict(zip(own, sets(own.values())))
             linked, apart = [], []
@@ -196,7 +196,7 @@ def _pack(moved: dict[tuple[int, int], int]):
         pack = zstandard.ZstdCompressor(level=1)
         for rows in frames:
             # rows of one doc_id may hold several sets
-            own = np.array([named(s, moved) for s in shingles.shingle_sets(list(rows["text"]), WIDTH)], np.int64) == rows["sid"].to_numpy()
+            own = np.array([named(s, moved) for s in shingles.shingle_sets(rows["text"], WIDTH)], np.int64) == rows["sid"].to_numpy()
             rows = rows[own]
             yield pd.DataFrame({"sid": rows["sid"], "packed": [pack.compress((t or "").encode("utf-8", "surrogatepass")) for t in rows["text"]]})
 

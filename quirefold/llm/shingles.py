@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 
 #: Bytes of text that are hashed at once.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -57,9 +59,8 @@ def _hash_slice(raw: list[bytes]) -> list[np.ndarray]:
     return np.split(h, np.searchsorted(starts, limits))
 
 
-def hash_texts(texts: list[str | None], lower: bool) -> list[np.ndarray]:
-    """The word hashes of each text."""
-    out: list[np.ndarray] = []
+def hash_texts(texts: Iterable[str | None], lower: bool) -> Iterator[np.ndarray]:
+    """The word hashes of each text, made for about ``SLICE`` bytes of text at once."""
     raw: list[bytes] = []
     held = 0
     for text in texts:
@@ -67,9 +68,10 @@ def hash_texts(texts: list[str | None], lower: bool) -> list[np.ndarray]:
         raw.append(r.lower() if lower else r)
         held += len(r)
         if held >= SLICE:
-            out += _hash_slice(raw)
+            yield from _hash_slice(raw)
             raw, held = [], 0
-    return out + (_hash_slice(raw) if raw else [])
+    if raw:
+        yield from _hash_slice(raw)
 
 
 def windows(hashes: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
@@ -85,14 +87,12 @@ def windows(hashes: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
     return mix(out)
 
 
-def shingle_sets(texts: list[str | None], width: int = 5) -> list[np.ndarray]:
+def shingle_sets(texts: Iterable[str | None], width: int = 5) -> Iterator[np.ndarray]:
     """The sorted distinct shingles of each text; with fewer words than ``width`` the whole sequence is the only one."""
-    out = []
     for h in hash_texts(texts, lower=True):
         s = np.sort(windows(h, min(width, len(h)))) if len(h) else h
-        out.append(s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) else s)
-    return out
+        yield s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) else s
 
 
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
-    return shingle_sets([text], width)[0]
+    return next(shingle_sets([text], width))

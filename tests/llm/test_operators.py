@@ -103,6 +103,21 @@ def test_html(spark):
     assert got[0]["n_chars"] == 17 and set(got[0]) == {"page_id", "url", "text", "n_chars"}
 
 
+def test_articles_inside_named_elements():
+    got = lambda page: html_extract.blocks(page)[0]
+    assert got("<div class='related-work'><p>x</p><article><p>one</p></article></div>") == ["one"]
+    assert got("<div class='related'><article>teaser</article></div><main><p>one</p></main>") == ["one"]
+    assert got("<article><p>one</p><section class='discussion'><p>two</p></section><div class='comments'>no</div></article>") == ["one", "two"]
+    assert got("<div hidden><article>no</article></div><p>one</p>") == ["one"] and got("<nav><article>no</article></nav>") == []
+
+
+def test_html_of_an_empty_table_and_repeated_rows(spark):
+    schema = "page_id long, url string, html string, text string, n_chars long"
+    assert rows(html_extract.extract(spark.createDataFrame([], schema))) == []
+    got = rows(html_extract.extract(spark.createDataFrame([(1, None, "<article>a</article>", "x", 9)] * 3 + [(None, "http://h/", None, None, None)], schema)))
+    assert sorted((str(r["page_id"]), r["text"], r["n_chars"]) for r in got) == [("1", "a", 1)] * 3 + [("None", "", 0)]
+
+
 def test_host_runs_are_removed(spark):
     notice = "all of our pages repeat this same long notice to every reader"
     df = spark.createDataFrame([(i, f"http://h/{i}", f"<div>{notice}</div><p>own{i} words{i}</p>") for i in range(9)], "page_id long, url string, html string")
@@ -160,6 +175,25 @@ def test_substring_dedup(spark, texts):
     assert got == brute_substring(texts, range(len(texts)))
 
 
+def test_substrings_of_repeats_nulls_and_hot_windows(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HELD", 200)
+    common = " ".join(f"c{k}" for k in range(20))
+    texts = [f"{common} own{k} {' '.join(f'w{k}x{j}' for j in range(9))} {common}" for k in range(60)] + [common, common, None]
+    ids = [*range(60), 60, 60, 61]
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows(substring_dedup.substring_dedup(frame(spark, texts, ids).repartition(7))))
+    want = brute_substring(texts, ids)
+    assert got == sorted((i, *want[i]) for i in ids)
+    last = rows(substring_dedup.substring_dedup(frame(spark, [common, common + " x"], [None, 5])))
+    assert {str(r["doc_id"]): r["n_removed"] for r in last} == {"None": 20, "5": 0}
+
+
+def test_texts_that_share_a_hash_are_renamed(spark):
+    sets = spark.createDataFrame([(77, 10), (77, 10), (77, 11), (78, 10)], "k long, k2 long")
+    moved = substring_dedup.renamed(sets)
+    assert [(r["k"], r["k2"]) for r in moved.collect()] == [(77, 11)]
+    assert sorted(r["k"] for r in substring_dedup.named(sets, moved).collect())[:1] != [11] and substring_dedup.named(sets, moved).distinct().count() == 3
+
+
 def test_spans_double(spark):
     w = " ".join(f"w{k}" for k in range(60))
     got = rows(substring_dedup.spans(frame(spark, [w, "x " + w, "other words"])))
@@ -370,7 +404,7 @@ def test_sets_that_share_an_id_are_renamed(spark, monkeypatch):
 
 def test_shingles_are_the_contracts_words():
     texts = [t for t in odd_texts() if t is not None]
-    for t, h in zip(texts, shingles.hash_texts(texts, lower=False)):
+    for t, h in zip(texts, shingles.hash_texts(texts, lower=False), strict=True):
         words = re.findall(r"[^\x20\x09-\x0D]+", t)
         assert len(h) == len(words) and len(set(h.tolist())) == len(set(words))
 
