@@ -11,8 +11,8 @@ heaviest ``HEAVY`` of them go last; the order decides how long the lists are, ne
 
 No list is paired with itself. Each set is compared with one hub of its lists first, the set that is in most lists; then
 with the hub of the largest component of its lists; in the end only pairs of a list that are in different components
-after that, and that pass the filters on sizes, positions and distances to a common hub, are compared. Every comparison
-is on all shingles of whole texts, by 64-bit hashes within the pair. What is returned is the component of each document:
+after that, and that pass the filters on sizes, positions and distances to a common hub, are compared. Joins are merges at
+every size, so that the plan does not change as the input grows. Every comparison is on all shingles of whole texts, by 64-bit hashes within the pair. What is returned is the component of each document:
 links inside a component need not be listed.
 
 A set goes by 64 bits of its digest; sets of different 128-bit digests that share them are found and renamed. The texts
@@ -237,11 +237,11 @@ class Join:
         shared = rows.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.max("n").alias("n"), F.max("pos").alias("pos"))
         # all columns are used, so that both sides read one exchange
         shared = shared.where("lo < hi and n > 0 and pos >= -1").select("key")
-        self.lists = materialize(rows.join(shared, "key").dropDuplicates(["key", "sid"]), "lists")
-        # sets in many shared lists lie in the middle of their neighbours
-        self.degrees = materialize(self.lists.groupBy("sid").agg(F.count("*").alias("lists")), "degrees")
-        need = self.degrees.select("sid")
-        one = self.sets.groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(need, "sid")
+        # sets in many shared lists lie in the middle of their neighbours; a set is in no more lists than it has shingles
+        lists = rows.join(shared, "key").dropDuplicates(["key", "sid"])
+        self.lists = materialize(lists.withColumn("lists", F.count("*").over(Window.partitionBy("sid"))), "lists")
+        need = self.lists.select("sid").distinct()
+        one = self.sets.groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(need.hint("merge"), "sid")
         sent.unpersist()
         release(spark)
         found = self.docs.join(one.hint("merge"), "doc_id").select("sid", "text").mapInPandas(_pack(moved), "sid long, packed binary")
@@ -257,10 +257,10 @@ class Join:
         release(pairs.sparkSession)
         return out
 
-    def hubs(self, lists: DataFrame, by: list[str]) -> DataFrame:
-        """The set of each group of list entries that is in most lists."""
-        entry = F.struct("lists", "sid", "n", "pos")
-        return lists.join(self.degrees, "sid").groupBy(*by).agg(F.max(entry).alias("h"), F.count("*").alias("c"))
+    @staticmethod
+    def hubs(lists: DataFrame) -> DataFrame:
+        """The set of each list that is in most lists."""
+        return lists.groupBy("key").agg(F.max(F.struct("lists", "sid", "n", "pos")).alias("h"), F.count("*").alias("c"))
 
     @staticmethod
     def best(met: DataFrame, most: int = 1) -> DataFrame:
@@ -276,15 +276,15 @@ class Join:
         return best.select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")).distinct()
 
     def hub_pairs(self) -> DataFrame:
-        met = self.lists.join(self.hubs(self.lists, ["key"]), "key").where(F.col("sid") != F.col("h.sid"))
+        met = self.lists.join(self.hubs(self.lists).hint("merge"), "key").where(F.col("sid") != F.col("h.sid"))
         met = met.where(_possible(F.col("n"), F.col("h.n"), F.col("pos"), F.col("h.pos")))
         return materialize(self.best(met.select("sid", F.col("h.sid").alias("hub"))), "hubs")
 
     def open_lists(self, parts: DataFrame) -> DataFrame:
         """Lists whose sets are in more than one component, with the components."""
-        labelled = self.lists.join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("part", F.coalesce("component", "sid")).drop("component")
+        labelled = self.lists.join(parts.withColumnRenamed("node", "sid").hint("merge"), "sid", "left").withColumn("part", F.coalesce("component", "sid")).drop("component")
         mixed = labelled.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
-        return materialize(labelled.join(mixed, "key"), "open")
+        return materialize(labelled.join(mixed.hint("merge"), "key"), "open")
 
     def star_pairs(self, open_lists: DataFrame) -> DataFrame:
         """Sets against central members of the largest component of their lists, if that is another one.
@@ -292,9 +292,9 @@ class Join:
         Each list puts up a member of its own, so a set meets several; the STARS most frequent are compared.
         """
         score = F.col("lists") + F.pmod(F.xxhash64("sid", "key"), F.lit(8))
-        own = open_lists.join(self.degrees, "sid").groupBy("key", "part").agg(F.max(F.struct(score.alias("score"), "sid", "n", "pos")).alias("h"), F.count("*").alias("c"))
+        own = open_lists.groupBy("key", "part").agg(F.max(F.struct(score.alias("score"), "sid", "n", "pos")).alias("h"), F.count("*").alias("c"))
         top = own.groupBy("key").agg(F.max(F.struct("c", "part", "h")).alias("t")).select("key", F.col("t.part").alias("top"), F.col("t.h").alias("h"))
-        met = open_lists.join(top, "key").where(F.col("part") != F.col("top"))
+        met = open_lists.join(top.hint("merge"), "key").where(F.col("part") != F.col("top"))
         met = met.where(_possible(F.col("n"), F.col("h.n"), F.col("pos"), F.col("h.pos")))
         return self.best(met.select("sid", F.col("h.sid").alias("hub")), STARS)
 
@@ -305,7 +305,7 @@ class Join:
         ``seen(sid, hub, apart)``: distances to a common hub exclude pairs by the triangle inequality, which holds for
         the distance 1 - similarity.
         """
-        known = open_lists.join(seen, "sid", "left")
+        known = open_lists.join(seen.hint("merge"), "sid", "left")
         x, y = (known.select("key", *(F.col(c).alias(f"{k}_{c}") for c in ("sid", "n", "pos", "part", "hub", "apart"))) for k in "ab")
         c = lambda name: (F.col(f"a_{name}"), F.col(f"b_{name}"))
         (a, b), (na, nb), (pa, pb), (ca, cb), (ha, hb), (da, db) = (c(n) for n in ("sid", "n", "pos", "part", "hub", "apart"))
@@ -330,7 +330,7 @@ class Join:
         itself = first.select(F.col("hub").alias("sid"), "hub", F.lit(0.0).alias("apart")).distinct()
         seen = materialize(seen.unionByName(itself).groupBy("sid").agg(F.min(F.struct("apart", "hub")).alias("m")).select("sid", "m.hub", "m.apart"), "seen")
         cross = materialize(self.cross_pairs(left, seen).join(done.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        discard(left, seen, first, self.lists, self.degrees)
+        discard(left, seen, first, self.lists)
         del left, seen, first, star, both, itself
         release(cross.sparkSession)
         done = done.unionByName(self.verify(cross))
