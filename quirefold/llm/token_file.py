@@ -7,7 +7,7 @@ block starts from fresh models and carries its number of ids and the CRC-32 of w
 alone, in any order, and damage is found. All arithmetic is on integers, so any machine decodes what another encoded.
 
 Many blocks are coded in step as lanes of arrays. Documents are dealt into ranges of doc_id, each range is a file of
-rows ``part, block, payload`` with a directory ``part, doc_id, row, n_tokens``; both are written to the shared folder.
+rows ``part, block, payload`` (rows of one id are told apart by a hash of their texts) with a directory ``part, doc_id, row, n_tokens``; both are written to the shared folder.
 
 Defined cases: a null or empty text is the end id alone; a null doc_id comes before all others; repeated rows are
 documents of their own; an empty table writes no block; further columns are ignored.
@@ -35,6 +35,8 @@ ID_BITS, TABLE_BITS, RATE = 16, 14, 4
 MAGIC = b"QTB1"
 WORDS = r"[\p{L}]++|'s|'t|'re|'ve|'m|'ll|'d|[\p{N}]|[^\s\p{L}\p{N}]++"
 KNOWN_WORDS = 400_000
+#: Bytes of text of a file, whose ids a task holds when it reads them back.
+FILE_BYTES = 32 << 20
 
 #: Logistic function and its inverse on 12 bits.
 SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2048, 2048) / 256))), 1, 4095).astype(np.int32)
@@ -78,6 +80,8 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     """One payload for each block of ids; blocks are given longest first."""
     if not blocks:
         return []
+    if max(int(b.max(initial=0)) for b in blocks) >> ID_BITS:
+        raise ValueError(f"an id has more than {ID_BITS} bits")
     lengths = np.array([len(b) for b in blocks])
     n, longest = len(blocks), int(lengths.max(initial=0))
     ids = np.zeros((longest, n), np.int64)
@@ -246,7 +250,11 @@ def write(docs: DataFrame, path: str | None = None, end: int = END) -> DataFrame
             row += len(counts)
         yield from coded(True)
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
+    # ranges by id, and by text where many rows share an id; their number is set, as each is much work for few bytes
+    texts = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    ordered = texts.repartitionByRange(ranges, "doc_id", "h").sortWithinPartitions("doc_id", "h").withColumn("part", F.spark_partition_id())
     schema = "part int, block int, payload binary, doc_id long, row int, n_tokens long"
     return materialize(ordered.select("part", "doc_id", "text").mapInPandas(run, schema), "tokens")
 
@@ -274,7 +282,10 @@ def read(files: DataFrame) -> DataFrame:
         crc = [zlib.crc32(ids[s : s + n].tobytes()) for s, n in zip(starts, counts)]
         return pd.DataFrame({"part": int(docs["part"].iloc[0]), "doc_id": pd.array([d["doc_id"] for d in own], dtype="Int64"), "start": starts, "n_tokens": counts, "ids_crc32": crc})
 
-    blocks = files.where("payload is not null").select("part", "block", "payload")
+    # a set number again: one that follows the bytes would make few tasks of much work
+    parts = max(1, sizes.count())
+    blocks = files.where("payload is not null").select("part", "block", "payload").repartition(parts, "part")
+    places = places.repartition(parts, "part")
     got = blocks.groupBy("part").cogroup(places.groupBy("part")).applyInPandas(run, "part int, doc_id long, start long, n_tokens long, ids_crc32 long")
     return got.join(base, "part").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
 

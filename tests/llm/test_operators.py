@@ -213,6 +213,37 @@ def test_token_file_round_trip(spark):
         at += len(ids)
 
 
+def test_token_files_of_odd_tables(spark):
+    assert rows(token_file.read(token_file.write(frame(spark, [])))) == []
+    texts, ids = ["one two", "one two", None, "three", "zero"], [5, 5, 7, 5, None]
+    got = rows(token_file.read(token_file.write(frame(spark, texts, ids))))
+    assert sorted(str(r["doc_id"]) for r in got) == ["5", "5", "5", "7", "None"]
+    by_start = sorted(got, key=lambda r: r["start"])
+    assert by_start[0]["doc_id"] is None and [r["start"] for r in by_start] == list(np.cumsum([0] + [r["n_tokens"] for r in by_start])[:-1])
+    assert (by_start[-1]["doc_id"], by_start[-1]["n_tokens"]) == (7, 1) and len({r["ids_crc32"] for r in got if r["doc_id"] == 5}) == 2
+
+
+def test_ids_beyond_the_format_are_refused():
+    with pytest.raises(ValueError):
+        token_file.encode_blocks([np.array([1 << token_file.ID_BITS], np.uint32)])
+
+
+@pytest.mark.parametrize("run", [
+    lambda d: sharding.shard(d),
+    lambda d: bpe.encode_decode(d),
+    lambda d: toxicity.toxicity(d, toxicity.train(d, d.sparkSession.createDataFrame([], "doc_id long, quality int, toxic int"))),
+    lambda d: quality.keep_good(d, d.sparkSession.createDataFrame([], "doc_id long, quality int, toxic int")),
+    lambda d: jaccard_join.keep_one(d),
+    lambda d: decontaminate.clean(d, d.sparkSession.createDataFrame([], "item_id long, text string")),
+    lambda d: exact_dedup.keep_one(d),
+])
+def test_empty_tables_and_repeated_rows(spark, run):
+    assert rows(run(frame(spark, []))) == []
+    got = rows(run(frame(spark, ["one two three", "one two three", None, "four"], [1, 1, 2, None])))
+    assert sorted(str(r["doc_id"]) for r in got) == ["1", "1", "2", "None"]
+    assert len({str(r) for r in got if r["doc_id"] == 1 and "slot" not in r}) <= 1
+
+
 def test_token_blocks_are_checked():
     ids = np.arange(300, dtype=np.uint32) % 7
     (payload,) = token_file.encode_blocks([ids])
