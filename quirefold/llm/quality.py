@@ -46,7 +46,7 @@ PRIOR = 200
 #: A language that no key of the model has.
 UNKNOWN = (1 << 22) - 1
 #: Bytes of text that a task counts at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def gram_keys(texts: list[str | None], langs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,11 +81,11 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             keys.append(k)
             counts.append(c)
             held += len(k)
-            if held > 3_000_000:
+            if held > 1_000_000:
                 k, at = np.unique(np.concatenate(keys), return_inverse=True)
                 keys, counts = [k], [np.bincount(at, np.concatenate(counts)).astype(np.int64)]
                 held = len(k)
-                if held > 2_000_000:
+                if held > 700_000:
                     yield pd.DataFrame({"g": keys[0], "c": counts[0]})
                     keys, counts, held = [], [], 0
     if keys:
