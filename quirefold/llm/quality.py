@@ -150,7 +150,7 @@ def probabilities(counts: dict[int, DataFrame], wanted: DataFrame) -> DataFrame:
 
 def languages(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """``lang, lid``: a number for each language of trusted documents. A row for each language."""
-    held = docs.join(trusted, "doc_id", "left_semi").select("lang").distinct()
+    held = docs.join(trusted.hint("merge"), "doc_id", "left_semi").select("lang").distinct()
     return materialize(held.select("lang", (F.row_number().over(Window.orderBy("lang")) - 1).cast("int").alias("lid")), "languages")
 
 
@@ -214,7 +214,7 @@ def quantile(rows: DataFrame, value, share: float, name: str) -> DataFrame:
 
 def thresholds(scored: DataFrame, trusted: DataFrame) -> DataFrame:
     """``lid, middle, upper`` in nats a byte, from the trusted rows of ``scored``: those of the fold where it has any."""
-    own = scored.where("lid is not null and size > 0").join(trusted, "doc_id", "left_semi").withColumn("held", tested())
+    own = scored.where("lid is not null and size > 0").join(trusted.hint("merge"), "doc_id", "left_semi").withColumn("held", tested())
     own = own.join(own.groupBy("lid").agg(F.max("held").alias("any_held")), "lid").where("held or not any_held")
     own = materialize(own.select("lid", "size", "cost"), "trusted")
     middle = materialize(quantile(own, F.col("cost") / F.col("size"), 0.5, "middle"), "middle")
@@ -234,7 +234,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     trusted = materialize(trusted_ids(labels), "trusted-ids")
     trained = trusted.where(~tested())
     rows = numbered(docs, languages(docs, trained))
-    highest = rows.join(trained, "doc_id", "left_semi").select("text", "lid").mapInPandas(_count, "g long, c long")
+    # a merge at every size, so that the plan does not change as the labels grow
+    highest = rows.join(trained.hint("merge"), "doc_id", "left_semi").select("text", "lid").mapInPandas(_count, "g long, c long")
     counts = counts_by_order(materialize(highest.groupBy("g").agg(F.sum("c").alias("c")), f"count{ORDER}"))
     wanted = materialize(rows.where("lid is not null").select("text", "lid").mapInPandas(_count, "g long, c long").select("g").distinct(), "wanted")
     model = materialize(probabilities(counts, wanted), "model")
