@@ -6,7 +6,6 @@ import pytest
 from quirefold.plans import registry
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"sort_pages_clean", "sort_pages_noisy", "page_stats", "unhandled_lines", "lcs_accuracy"}
 
 
 @pytest.fixture(scope="module")
