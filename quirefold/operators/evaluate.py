@@ -3,28 +3,81 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirefold.functions import text as T
 
-#: What a misread character turns into.
-CONFUSED, INTO = "oil0O1eacn", "0lio0lcocm"
+#: Misreadings, tried before any other substitution.
+CONFUSIONS = (
+    ("rn", "m"),
+    ("m", "rn"),
+    ("cl", "d"),
+    ("d", "cl"),
+    ("l", "1"),
+    ("1", "l"),
+    ("I", "l"),
+    ("O", "0"),
+    ("0", "O"),
+    ("e", "c"),
+    ("c", "e"),
+    ("h", "b"),
+    ("u", "v"),
+    ("S", "5"),
+    ("B", "8"),
+)
+#: What an ideograph may turn into.
+IDEOGRAPHS = "的一是不了人在有我他这中大来上国和生到子们地出道也时年得就那要下以"
+LETTER = r"[\p{L}\p{Nd}]"
+IDEOGRAPH = "[一-鿿぀-ヿ가-힯]"
 TOLERANCE = 0.05
 
 
-def confuse(word: Column) -> Column:
-    return F.translate(word, CONFUSED, INTO)
+def _places(word: Column, holds) -> Column:
+    """The places of ``word``, from 1, that ``holds`` is true of."""
+    return F.filter(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))), holds)
 
 
-def inject_noise(words: DataFrame, rate: float, seed: int) -> DataFrame:
-    """Misread a share of each page's words, chosen by a seeded hash; ``words(page_id, pos, word)``."""
-    from pyspark.sql import Window
+def _rewrites(word: Column) -> Column:
+    """The word after each misreading that it allows, in the order of rules and places."""
 
-    able = F.regexp_like(F.col("word"), F.lit(r"[\p{L}\p{Nd}]"))
-    rank = F.row_number().over(Window.partitionBy("page_id", able).orderBy(F.xxhash64(F.lit(seed), "page_id", "pos"), "pos"))
-    n = F.count_if(able).over(Window.partitionBy("page_id"))
-    return words.withColumn("word", F.when(able & (rank <= F.round(n * rate)), confuse(F.col("word"))).otherwise(F.col("word")))
+    def by(old: str, new: str) -> Column:
+        at = _places(word, lambda i: F.substr(word, i, F.lit(len(old))) == old)
+        return F.transform(at, lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.lit(new), F.substr(word, i + len(old))))
+
+    return F.concat(*(by(old, new) for old, new in CONFUSIONS))
+
+
+def _nth(items: Column, draw: Column) -> Column:
+    return F.get(items, F.pmod(draw, F.size(items)).cast("int"))
+
+
+def corrupt(word: Column, draw: Column) -> Column:
+    """The word with one misreading, or else with one letter or digit replaced by another of its class, as ``draw`` says."""
+    pool = lambda text, c: F.filter(F.array(*map(F.lit, text)), lambda x: x != c)
+    lower = "abcdefghijklmnopqrstuvwxyz"
+
+    def other(c: Column) -> Column:
+        digit, upper = F.regexp_like(c, F.lit(r"^\p{Nd}")), F.regexp_like(c, F.lit(r"^\p{Lu}"))
+        return F.when(F.regexp_like(c, F.lit(IDEOGRAPH)), _nth(pool(IDEOGRAPHS, c), draw)).when(digit, _nth(pool("0123456789", c), draw)).when(upper, _nth(pool(lower.upper(), c), draw)).otherwise(_nth(pool(lower, c), draw))
+
+    spots = _places(word, lambda i: F.regexp_like(F.substr(word, i, F.lit(1)), F.lit(LETTER)))
+    at = _nth(spots, draw)
+    swapped = F.concat(F.substr(word, F.lit(1), at - 1), other(F.substr(word, at, F.lit(1))), F.substr(word, at + 1))
+    found = _rewrites(word)
+    return F.when(F.size(found) > 0, _nth(found, draw)).when(F.size(spots) > 0, swapped).otherwise(word)
+
+
+def inject_noise(words: DataFrame, rate: float, seed: int = 0, draw: Column | None = None) -> DataFrame:
+    """Misread a share of each page's words that hold a letter or digit; ``words(page_id, pos, word)``.
+
+    ``draw`` chooses the words (the smallest draws first) and their misreadings; a seeded hash, if it is not given.
+    """
+    drawn = words.withColumn("draw", F.xxhash64(F.lit(seed), "page_id", "pos") if draw is None else draw).withColumn("able", F.regexp_like(F.col("word"), F.lit(LETTER)))
+    rank = F.row_number().over(Window.partitionBy("page_id", "able").orderBy("draw", "pos"))
+    n = F.count_if("able").over(Window.partitionBy("page_id"))
+    hit = drawn.withColumn("hit", F.col("able") & (rank <= F.round(n * rate)))
+    return hit.withColumn("word", F.when(F.col("hit"), corrupt(F.col("word"), F.col("draw"))).otherwise(F.col("word"))).drop("draw", "able", "hit")
 
 
 def lcs_length(a: list[str], b: list[str]) -> int:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import text as T
 from quirefold.functions.geometry import BoxColumns, Geometry, with_geometry
+from quirefold.operators import evaluate
 from quirefold.operators import prepare as P
 from quirefold.plans import layout as L
 from quirefold.sources import engines as S
@@ -320,16 +321,25 @@ def containment_match(spark, sf):
     return sure.unionByName(d.join(short, F.contains("text", F.col("item"))).select(F.col("doc_id").alias("page_id"), long(F.col("item_id")).alias("item_id")))
 
 
-_NOISE = "CASE WHEN (doc_id * 13 + pos * 7) % 20 = 0 AND regexp_matches(word, '[a-zA-Z0-9]') THEN translate(word, 'oil0O1eacn', '0lio0lcocm') ELSE word END"
+def _sql_rewrites() -> str:
+    by = lambda old, new: f"list_transform(list_filter(range(1, length(word) + 1), lambda i: substr(word, i, {len(old)}) = '{old}'), lambda i: substr(word, 1, i - 1) || '{new}' || substr(word, i + {len(old)}))"
+    return f"flatten([{', '.join(by(old, new) for old, new in evaluate.CONFUSIONS)}])"
 
 
-@query("WITH " + L.SQL_WORDS + f" SELECT doc_id AS page_id, CAST(pos AS INT) AS pos, {_NOISE} AS noisy FROM words")
-def noise_injection(spark, sf):
-    from quirefold.operators.evaluate import confuse
+_POOLS = f"CASE WHEN regexp_matches(c, '{evaluate.IDEOGRAPH}') THEN '{evaluate.IDEOGRAPHS}' WHEN regexp_matches(c, '\\p{{Nd}}') THEN '0123456789' WHEN regexp_matches(c, '\\p{{Lu}}') THEN 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' ELSE 'abcdefghijklmnopqrstuvwxyz' END"
 
-    w = docs(spark, sf).select("doc_id", F.posexplode(T.tokenize_words(text())).alias("pos", "word"))
-    hit = ((F.col("doc_id") * 13 + F.col("pos") * 7) % 20 == 0) & F.regexp_like(F.col("word"), F.lit("[a-zA-Z0-9]"))
-    return w.select(F.col("doc_id").alias("page_id"), "pos", F.when(hit, confuse(F.col("word"))).otherwise(F.col("word")).alias("noisy"))
+
+@query("WITH " + L.SQL_WORDS + f""", c AS (SELECT doc_id AS page_id, pos, word, regexp_matches(word, '{evaluate.LETTER}') AS able, (doc_id * 7919 + pos * 10473) % 1009 AS draw FROM words),
+ r AS (SELECT *, row_number() OVER (PARTITION BY page_id, able ORDER BY draw, pos) AS k, count(*) FILTER (able) OVER (PARTITION BY page_id) AS n FROM c),
+ w AS (SELECT *, CASE WHEN able AND k <= round(n * 0.05) THEN {_sql_rewrites()} END AS found, list_filter(range(1, length(word) + 1), lambda i: regexp_matches(substr(word, i, 1), '{evaluate.LETTER}')) AS spots FROM r),
+ s AS (SELECT *, CASE WHEN len(found) = 0 THEN spots[1 + draw % len(spots)] END AS spot, substr(word, CASE WHEN len(found) = 0 THEN spots[1 + draw % len(spots)] ELSE 1 END, 1) AS c FROM w),
+ p AS (SELECT *, replace({_POOLS}, c, '') AS pool FROM s)
+ SELECT page_id, CAST(pos AS INT) AS pos, CASE WHEN found IS NULL THEN word WHEN len(found) > 0 THEN found[1 + draw % len(found)] ELSE substr(word, 1, spot - 1) || substr(pool, 1 + draw % length(pool), 1) || substr(word, spot + 1) END AS noisy FROM p""")
+def noise_injection(spark, sf):
+    """One word in twenty of each page, drawn by position."""
+    w = docs(spark, sf).select(F.col("doc_id").alias("page_id"), F.posexplode(T.tokenize_words(text())).alias("pos", "word"))
+    draw = (F.col("page_id") * 7919 + F.col("pos").cast("long") * 10473) % 1009
+    return evaluate.inject_noise(w, 0.05, draw=draw).select("page_id", "pos", F.col("word").alias("noisy"))
 
 
 _RATCHET = """WITH r AS (SELECT o_custkey AS k, avg(o_totalprice) / 5000 AS acc FROM orders GROUP BY o_custkey), b AS (SELECT c_custkey AS k, c_acctbal / 100 AS acc FROM customer)
@@ -338,8 +348,6 @@ _RATCHET = """WITH r AS (SELECT o_custkey AS k, avg(o_totalprice) / 5000 AS acc
 
 @query(_RATCHET)
 def ratchet_baselines(spark, sf):
-    from quirefold.operators.evaluate import ratchet
-
     runs = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg((F.avg("o_totalprice") / 5000).alias("accuracy"))
     base = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_acctbal") / 100).alias("accuracy"))
-    return ratchet(runs, base, "k").select(long(F.col("k")).alias("k"), F.round("baseline", 2).alias("baseline"), "failed")
+    return evaluate.ratchet(runs, base, "k").select(long(F.col("k")).alias("k"), F.round("baseline", 2).alias("baseline"), "failed")
