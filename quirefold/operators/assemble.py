@@ -19,9 +19,9 @@ def found_boxes(matches: DataFrame, boxes: DataFrame) -> DataFrame:
 
 
 def leftovers(matches: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Boxes that no line has claimed, as islands of contiguous lines."""
+    """Boxes that no line has claimed, as islands of contiguous lines, cut at headers."""
     taken = matches.where("found").select("page_id", F.explode("path").alias("index"))
-    return prepare.islands(boxes.join(taken, ["page_id", "index"], "left_anti"))
+    return prepare.cut_headers(materialize(prepare.islands(boxes.join(taken, ["page_id", "index"], "left_anti")), "islands"))
 
 
 def _key(text: Column) -> Column:
@@ -104,17 +104,51 @@ def sentences(matches: DataFrame, boxes: DataFrame) -> DataFrame:
 
 
 def paragraphs(sents: DataFrame) -> DataFrame:
-    """``page_id, rank, handler, text, words, bounds``: sentences of one canonical line merged, in line order, unmatched ones last.
+    """``page_id, rank, line_no, handler, reading_order, text, words, bounds``: sentences of one canonical line merged, in line order, unmatched ones last.
 
-    Sentences of a line go from top to bottom, of vertical pages by columns and then from top to bottom.
+    Sentences of a line, and those without one, go from top to bottom, of vertical pages by columns and then from top to bottom.
     """
     head, order = F.col("words")[0], F.col("reading_order")
     along = F.when(order == int(ReadingOrder.VERTICAL_TTB_RTL), -(head["left"] + head["width"])).when(order == int(ReadingOrder.VERTICAL_TTB_LTR), head["left"]).otherwise(head["top"])
     tie = F.when(order >= int(ReadingOrder.VERTICAL_TTB_RTL), head["top"]).otherwise(head["left"])
-    key = F.struct(along.alias("along"), tie.alias("tie"), "first", "words")
-    merged = sents.withColumn("grp", F.when(F.col("line_no") < 0, F.col("first")).otherwise(F.lit(-1))).groupBy("page_id", "line_no", "grp").agg(F.max("handler").alias("handler"), F.flatten(F.transform(F.sort_array(F.collect_list(key)), lambda x: x["words"])).alias("words"))
-    order = Window.partitionBy("page_id").orderBy(F.when(F.col("line_no") < 0, 1).otherwise(0), "line_no", "grp")
-    return merged.select("page_id", (F.row_number().over(order) - 1).alias("rank"), "line_no", "handler", *_text_and_bounds())
+    key = F.struct(along.alias("along"), tie.alias("tie"), "first")
+    merged = sents.withColumn("key", key).withColumn("grp", F.when(F.col("line_no") < 0, F.col("first")).otherwise(F.lit(-1))).groupBy("page_id", "line_no", "grp").agg(F.max("handler").alias("handler"), F.max("reading_order").alias("reading_order"), F.min("key").alias("key"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("key", "words"))), lambda x: x["words"])).alias("words"))
+    place = Window.partitionBy("page_id").orderBy(F.when(F.col("line_no") < 0, 1).otherwise(0), "line_no", "key")
+    return merged.select("page_id", (F.row_number().over(place) - 1).alias("rank"), "line_no", "handler", "reading_order", *_text_and_bounds())
+
+
+#: A gap of so many box sizes, of a size of at least so much of the page, parts two unmatched sentences.
+BREAK, LEAST_SIZE = 1.5, 0.01
+
+
+def paragraph_gaps(paras: DataFrame) -> DataFrame:
+    """``page_id, rank`` of unmatched paragraphs that lie far behind the unmatched one before them, where reading advances."""
+    before = Window.partitionBy("page_id").orderBy("rank")
+    last, head, order = F.col("last"), F.col("words")[0], F.col("reading_order")
+    rows = paras.select("page_id", "rank", "line_no", "reading_order", "words", F.lag(F.get("words", F.size("words") - 1)).over(before).alias("last"), F.lag("line_no").over(before).alias("last_line"))
+    down = order >= int(ReadingOrder.VERTICAL_TTB_RTL)
+    size = F.when(down, F.greatest(last["width"], head["width"])).otherwise(F.greatest(last["height"], head["height"]))
+    gap = F.when(order == int(ReadingOrder.VERTICAL_TTB_RTL), last["left"] - (head["left"] + head["width"])).when(down, head["left"] - (last["left"] + last["width"])).otherwise(head["top"] - (last["top"] + last["height"]))
+    return rows.where((F.col("line_no") < 0) & (F.col("last_line") < 0) & (size >= LEAST_SIZE) & (gap > BREAK * size)).select("page_id", "rank")
+
+
+def sorted_lines(matches: DataFrame, boxes: DataFrame) -> DataFrame:
+    """``page_id, no, text``: the lines of each page's document with the empty ones that documents leave out.
+
+    Those are the blank lines between the first and the last line that has boxes, and one before each of
+    ``paragraph_gaps``; a page of at most one line has none.
+    """
+    whole = materialize(paragraphs(sentences(matches, boxes)), "paragraphs")
+    lines = whole.where("line_no >= 0").groupBy("page_id").agg(F.min("line_no").alias("lo"), F.max("line_no").alias("hi"))
+    blanks = matches.where("is_blank").join(lines, "page_id").where("line_no > lo and line_no < hi").select("page_id", "line_no").distinct()
+    few = matches.groupBy("page_id").agg(F.count("*").alias("n")).where("n <= 1").select("page_id")
+    gaps = paragraph_gaps(whole).join(few, "page_id", "left_anti")
+    # unmatched paragraphs are behind all lines; a gap is before its paragraph
+    tail = F.when(F.col("line_no") < 0, F.lit(2**31 - 1)).otherwise(F.col("line_no"))
+    rows = resegmented(whole, matches).join(few.withColumn("few", F.lit(True)), "page_id", "left").select("page_id", F.when(F.col("few"), F.lit(0)).otherwise(tail).alias("at"), "rank", F.lit(1).alias("sub"), F.trim("text").alias("text"))
+    empty = lambda df, at, rank: df.select("page_id", at.alias("at"), rank.alias("rank"), F.lit(0).alias("sub"), F.lit("").alias("text"))
+    out = rows.unionByName(empty(blanks, F.col("line_no"), F.lit(-1))).unionByName(empty(gaps, F.lit(2**31 - 1), F.col("rank")))
+    return out.select("page_id", (F.row_number().over(Window.partitionBy("page_id").orderBy("at", "rank", "sub")) - 1).alias("no"), "text")
 
 
 def _text_and_bounds() -> tuple[Column, Column, Column]:
@@ -127,11 +161,11 @@ def resegmented(paras: DataFrame, matches: DataFrame) -> DataFrame:
     """``paras`` with the words of pages of at most one line, in their order, cut anew behind each sentence end."""
     few = matches.groupBy("page_id").agg(F.count("*").alias("n")).where("n <= 1").select("page_id")
     order = Window.partitionBy("page_id").orderBy("rank", "k")
-    words = paras.join(few, "page_id").select("page_id", "rank", "line_no", "handler", F.posexplode("words").alias("k", "w"))
+    words = paras.join(few, "page_id").select("page_id", "rank", "line_no", "handler", "reading_order", F.posexplode("words").alias("k", "w"))
     ended = F.coalesce(F.lag(T.ends_sentence(F.col("w.text")).cast("int")).over(order), F.lit(0))
     cut = words.withColumn("ended", ended).withColumn("no", F.sum("ended").over(order).cast("int"))
-    own = cut.groupBy("page_id", "no").agg(F.min("line_no").alias("line_no"), F.max("handler").alias("handler"), F.transform(F.sort_array(F.collect_list(F.struct("rank", "k", "w"))), lambda x: x["w"]).alias("words"))
-    return paras.join(few, "page_id", "left_anti").unionByName(own.select("page_id", F.col("no").alias("rank"), "line_no", "handler", *_text_and_bounds()))
+    own = cut.groupBy("page_id", "no").agg(F.min("line_no").alias("line_no"), F.max("handler").alias("handler"), F.max("reading_order").alias("reading_order"), F.transform(F.sort_array(F.collect_list(F.struct("rank", "k", "w"))), lambda x: x["w"]).alias("words"))
+    return paras.join(few, "page_id", "left_anti").unionByName(own.select("page_id", F.col("no").alias("rank"), "line_no", "handler", "reading_order", *_text_and_bounds()))
 
 
 def assembled(matches: DataFrame, boxes: DataFrame) -> DataFrame:

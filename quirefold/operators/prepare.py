@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,6 +158,50 @@ def islands(boxes: DataFrame) -> DataFrame:
     return boxes.withColumn("cut", cut).withColumn("island", F.sum("cut").over(order)).drop("cut")
 
 
+#: A leftover sentence goes on behind these words.
+GOES_ON = ("about", "at", "in", "on", "to", "for", "with", "by", "of", "and", "or", "but", "the", "a", "an")
+#: Boxes of one engine line that may be a header.
+HEADER = 4
+#: An upper-case letter by the first byte of the text alone, which also takes that of most letters of two bytes.
+_UPPER = r"^[A-Z\x{80}-\x{5BF}\x{600}-\x{7BF}]"
+
+
+def _sentence_numbers(boxes: list[dict]) -> list[int]:
+    """The sentence of each box of an island; each cut hangs on what the sentence before it holds."""
+    out, start, line = [], 0, None
+    for at, box in enumerate(boxes):
+        own = box.get("line")
+        if at > start and None not in (own, line) and own != line:
+            last, ahead = boxes[at - 1], boxes[at : at + HEADER + 1]
+            before = sum(b.get("line") == line for b in boxes[start:at])
+            short = len(ahead) <= HEADER or any(b.get("line") != own for b in ahead)
+            if last["ends"] or before <= HEADER or (short and box["upper"] and not last["goes_on"]):
+                start = at
+        line = own if own is not None else line
+        out.append((out[-1] if out else 0) + (at == start and at > 0))
+    return out
+
+
+def _pieces(islands: pd.Series) -> pd.Series:
+    return islands.map(lambda w: _sentence_numbers(json.loads(w)))
+
+
+def cut_headers(boxes: DataFrame) -> DataFrame:
+    """``boxes`` of ``islands`` with islands cut where the engine's line changes behind a sentence end or at a header.
+
+    A header is a run of at most ``HEADER`` boxes of one engine line: before the change, or behind it if it starts in
+    upper case and the word before does not go on. Lines change inside an island only over boxes without one.
+    """
+    line = F.nullif(F.col("line_id"), F.lit(""))
+    goes_on = F.lower(F.trim("text")).isin(*GOES_ON)
+    box = F.struct("index", line.alias("line"), T.ends_sentence(F.col("text")).alias("ends"), goes_on.alias("goes_on"), F.regexp_like(F.col("text"), F.lit(_UPPER)).alias("upper"))
+    many = boxes.groupBy("page_id", "island").agg(F.sort_array(F.collect_list(box)).alias("w"), F.count_distinct(line).alias("n")).where("n > 1")
+    cut = many.select("page_id", "w", F.pandas_udf(_pieces, "array<int>")(F.to_json("w")).alias("out"))
+    pieces = cut.select("page_id", F.explode(F.arrays_zip(F.transform("w", lambda x: x["index"]).alias("index"), F.col("out").alias("no"))).alias("p")).select("page_id", "p.index", "p.no")
+    order = Window.partitionBy("page_id").orderBy("island", "no")
+    return boxes.join(pieces, ["page_id", "index"], "left").fillna(0, ["no"]).withColumn("island", F.dense_rank().over(order).cast("long")).drop("no")
+
+
 def resegment(words: DataFrame) -> DataFrame:
     """Lines cut anew behind each sentence end: ``page_id, line_no, text`` from ``page_id, index, text``."""
     order = Window.partitionBy("page_id").orderBy("index")
