@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quirefold.plans import assembly_queries as _assembly  # noqa: F401  registers its queries
 from quirefold.plans import more_queries as _more  # noqa: F401  registers its queries
 from quirefold.plans import pages as _pages  # noqa: F401  registers its queries
 from quirefold.plans import queries as _q
