@@ -1,3 +1,4 @@
+import random
 from dataclasses import replace
 
 from quirefold.config import for_language
@@ -50,3 +51,17 @@ def test_sentences():
 
 def test_lcs():
     assert lcs_length(list("abcde"), list("ace")) == 3 and lcs_length([], ["a"]) == 0 and lcs_length(list("aab"), list("baa")) == 2
+
+
+def test_rejected_steps_would_cost_too_much():
+    """The early rejection in ``step`` takes no step away that its cost and the wrap rule admit."""
+    rng = random.Random(5)
+    for bridging in (True, False):
+        config = replace(EN, wrap_bridging=bridging)
+        got = Page([], [], config, norm)
+        for _ in range(20000):
+            a, b = (Box(rng.uniform(0, 0.9), rng.choice([0.1, 0.12, 0.15, rng.uniform(0, 0.9)]), rng.uniform(0.01, 0.3), rng.uniform(0.005, 0.05)) for _ in range(2))
+            g = got.geometry
+            cost = g.distance(a, b)
+            want = cost if cost <= config.max_word_distance or (bridging and g.wraps_line(a, b)) else None
+            assert got.step(a, b, 0) == want, (a, b)
