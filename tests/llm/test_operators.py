@@ -137,6 +137,21 @@ def test_host_copies_and_quotes_stay(spark, monkeypatch):
     assert got == want
 
 
+def test_pages_with_marked_articles_tell_what_their_host_repeats(spark, monkeypatch):
+    notice = "all of our pages repeat this same long notice to every reader"
+    quote = "a paragraph that every article of this host has is text in all of them"
+    article = lambda i: f"<nav>{notice}</nav><article><p>own{i} words{i}</p><p>{quote}</p></article>"
+    pages = [(i, f"http://h/{i}", article(i)) for i in range(12)] + [(i, "http://h/x", article(3)) for i in (20, 21)]
+    pages += [(30, "http://h/30", f"<div>{notice}</div><p>the only page without a marked article</p>")]
+    pages += [(31, "http://other/", f"<div>{notice}</div><p>another host</p>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    want = [(i, f"own{i} words{i}\n{quote}") for i in range(12)] + [(i, f"own3 words3\n{quote}") for i in (20, 21)]
+    want += [(30, "the only page without a marked article"), (31, f"{notice}\nanother host")]
+    assert sorted((r["page_id"], r["text"]) for r in rows(html_extract.extract(df))) == want
+    monkeypatch.setattr(html_extract, "CHUNK_PAGES", 3)
+    assert sorted((r["page_id"], r["text"]) for r in rows(html_extract.extract(df.repartition(4)))) == want
+
+
 def test_bpe_equals_the_library(spark):
     from tokenizers import Tokenizer
 
