@@ -18,7 +18,6 @@ import json
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,7 +29,7 @@ from quirefold.tables import table
 #: How byte-level vocabularies split a text into words.
 WORDS = r" ?\p{L}++|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"
 #: Finished words kept at once, and characters of text handled at once.
-KNOWN_WORDS, SLICE_CHARS = 400_000, 4_000_000
+KNOWN_WORDS, SLICE_CHARS = 400_000, 1_000_000
 
 
 def byte_names() -> dict[int, str]:
@@ -57,7 +56,8 @@ class Bpe:
         self.piece |= {i: text.encode() for text, i in self.added.items()}
         self.specials = regex.compile("|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.words = regex.compile(WORDS)
-        self.known: dict[str, list[int]] = {}
+        #: The ids of a finished word as bytes, which hold half of what a list of numbers does.
+        self.known: dict[str, bytes] = {}
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of the merge of each pair of ids, or -1."""
@@ -118,7 +118,7 @@ class Bpe:
             h = before[i]
             add(self._ranks(np.concatenate((np.full(len(i), whole), sym[h])), np.concatenate((sym[k], np.full(len(i), whole)))), np.concatenate((i, h)))
         alive = sym >= 0
-        ids, upto = sym[alive].tolist(), np.cumsum(alive)[ends].tolist()
+        ids, upto = sym[alive].astype(np.int32).tobytes(), (4 * np.cumsum(alive)[ends]).tolist()
         start = 0
         for word, end in zip(words, upto):
             self.known[word] = ids[start:end]
@@ -140,14 +140,15 @@ class Bpe:
             new = {w for words in part for w in words if w not in known}
             if len(known) + len(new) > KNOWN_WORDS:
                 known.clear()
-                known.update((i, [i]) for i in self.added.values())
+                known.update(special)
                 new = {w for words in part for w in words if w not in known}
             self._learn(list(new))
             for words in part:
-                yield list(chain.from_iterable(map(known.__getitem__, words)))
+                yield np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32).tolist()
 
         known = self.known
-        known.update((i, [i]) for i in self.added.values())
+        special = {i: np.int32(i).tobytes() for i in self.added.values()}
+        known.update(special)
         part, chars = [], 0
         for text in texts:
             part.append(self._split(text) if text else [])

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -215,6 +216,18 @@ def test_spans_double(spark):
     assert max(r["length"] for r in got) == 52 and {r["doc_id"] for r in got} == {0, 1}
 
 
+def test_bpe_holds_little_for_finished_words():
+    draw = random.Random(5)
+    words = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(20_000)]
+    encoder = bpe.Bpe(bpe.default_path())
+    tracemalloc.start()
+    list(encoder.encode([" ".join(words)]))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    # a worker keeps them through the later stages of a pipeline
+    assert len(encoder.known) >= 20_000 and held < 200 * len(words)
+
+
 def test_token_file_round_trip(spark):
     from tokenizers import Tokenizer
 
