@@ -1,10 +1,12 @@
 """Token ids in a binary file format: an adaptive context-mixing range coder in independent, checksummed blocks.
 
-An id is coded as its bits from the top. Three adaptive bit models predict each bit, in the contexts of the bits so far
-(order 0), of them and the previous id (order 1), and of them and the two previous ids (order 2). A small adaptive
-mixer adds their predictions in the logistic domain, and the mixed probability drives a carry-less range coder. Every
-block starts from fresh models and carries its number of ids and the CRC-32 of what it encodes, so blocks can be read
-alone, in any order, and damage is found. All arithmetic is on integers, so any machine decodes what another encoded.
+Each id is coded whole. Two adaptive tables, in the contexts of the previous id (order 1) and of the two previous ids
+(order 2), each name the id that they expect, with the probability that they are right. A small adaptive mixer adds these
+and the rate of hits so far (order 0) in the logistic domain to the probability of the likelier one; the other one comes
+next; any other id is coded by a fixed prior, as vocabularies give frequent pieces small ids. The probabilities drive a
+carry-less range coder. Every block starts from fresh models and carries its number of ids and the CRC-32 of what it
+encodes, so blocks can be read alone, in any order, and damage is found. All arithmetic is on integers, so any machine
+decodes what another encoded.
 
 Many blocks are coded in step as lanes of arrays. Documents are dealt into ranges of doc_id, each range is a file of
 rows ``part, block, payload`` (rows of one id are told apart by a hash of their texts) with a directory ``part, doc_id, row, n_tokens``; both are written to the shared folder.
@@ -15,9 +17,10 @@ documents of their own; an empty table writes no block; further columns are igno
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -31,10 +34,11 @@ from quirefold.tables import table
 
 END = 1
 BLOCK_IDS, LANES = 8192, 1024
-ID_BITS, TABLE_BITS, RATE = 16, 14, 4
-MAGIC = b"QTB1"
+ID_BITS, TABLE_BITS = 16, 12
+MAGIC = b"QTB2"
 WORDS = r"[\p{L}]++|'s|'t|'re|'ve|'m|'ll|'d|[\p{N}]|[^\s\p{L}\p{N}]++"
-KNOWN_WORDS = 400_000
+#: Words kept at once, and characters of text handled at once.
+KNOWN_WORDS, SLICE_CHARS = 400_000, 1_000_000
 #: Bytes of text of a file, whose ids a task holds when it reads them back.
 FILE_BYTES = 32 << 20
 
@@ -43,37 +47,82 @@ SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2048, 2048) / 256))), 1
 STRETCH = np.clip(np.round(256 * np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096)))), -2047, 2047).astype(np.int32)
 
 
+#: Cumulative counts of the prior of ids, of 2**20 in all: one for each id, the rest by 1 / (id + 100).
+PRIOR_BITS = 20
+_shares = np.cumsum((1 << 40) // (np.arange(1 << ID_BITS, dtype=np.int64) + 100)).tolist()
+PRIOR = np.array([0, *(x * ((1 << PRIOR_BITS) - (1 << ID_BITS)) // _shares[-1] for x in _shares)], np.uint64) + np.arange((1 << ID_BITS) + 1, dtype=np.uint64)
+#: The coder's range stays above the first; a word is out when the rest is below the second.
+LEAST, WORD = np.uint64(1 << 40), np.uint64(1 << 48)
+#: A table takes a new id when it trusts its own less than this.
+DOUBT = 12_000
+
+
 class _Lanes:
     """The models and the coder of blocks that are coded in step."""
 
     def __init__(self, n: int):
-        self.n = n
-        self.tables = [np.full(n << TABLE_BITS, 32768, np.int32) for _ in range(3)]
+        self.expected = [np.zeros(n << TABLE_BITS, np.int32) for _ in range(2)]
+        self.trust = [np.full(n << TABLE_BITS, DOUBT, np.int32) for _ in range(2)]
         self.base = np.arange(n, dtype=np.int64) << TABLE_BITS
         self.weights = np.full((3, n), 24000, np.int32)
-        self.low, self.high = np.zeros(n, np.int64), np.full(n, 0xFFFFFFFF, np.int64)
-
-    def bit(self, k: int, node: np.ndarray, ctx: tuple[np.ndarray, np.ndarray], choose):
-        """Code one bit of the first ``k`` lanes; ``choose(middle)`` gives the bits."""
-        mask = (1 << TABLE_BITS) - 1
-        slots = [self.base[:k] + ((node * 40503 + (node >> 3)) & mask)]
-        slots += [self.base[:k] + (((c + node) * 0x9E3779B1 >> 15) & mask) for c in ctx]
-        p = [t[s] for t, s in zip(self.tables, slots)]
-        st = [STRETCH[q >> 4] for q in p]
+        self.rate, self.other = np.full(n, 32768, np.int32), np.full(n, 8192, np.int32)
+        self.low, self.range = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
+
+    def predict(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For the first lanes: the likelier id, the other one, and their counts of 2**16."""
+        k, mask = len(one), (1 << TABLE_BITS) - 1
+        self.slots = [self.base[:k] + ((one * 0x9E3779B1 >> 15) & mask), self.base[:k] + (((one * 0x2545F + two * 0x9E37 + 13) * 0x9E3779B1 >> 17) & mask)]
+        self.named = [e[s] for e, s in zip(self.expected, self.slots)]
+        self.sure = [t[s] for t, s in zip(self.trust, self.slots)]
+        (e1, e2), (t1, t2) = self.named, self.sure
+        second = t2 >= t1
+        a, b = np.where(second, e2, e1), np.where(second, e1, e2)
+        differ = e1 != e2
+        against = STRETCH[np.minimum(t1, t2) >> 4]
+        self.inputs = STRETCH[np.maximum(t1, t2) >> 4], np.where(differ, -against, against), STRETCH[self.rate[:k] >> 4]
         w = self.weights[:, :k]
-        dot = (st[0] * w[0] + st[1] * w[1] + st[2] * w[2]) >> 16
-        mixed = SQUASH[np.clip(dot, -2047, 2047) + 2048]
-        low, high = self.low[:k], self.high[:k]
-        middle = low + ((high - low) >> 12) * mixed
-        bits = choose(middle)
-        one = bits == 1
-        self.high[:k] = np.where(one, middle, high)
-        self.low[:k] = np.where(one, low, middle + 1)
-        err = ((bits << 12) - mixed) * 6
-        for j in range(3):
-            w[j] += (st[j] * err + 0x8000) >> 16
-            self.tables[j][slots[j]] = p[j] + (np.where(one, 65535 - p[j], -p[j]) >> RATE)
-        return bits
+        dot = (self.inputs[0] * w[0] + self.inputs[1] * w[1] + self.inputs[2] * w[2]) >> 16
+        self.mixed = SQUASH[np.clip(dot, -2047, 2047) + 2048]
+        for_a = self.mixed << 4
+        for_b = np.where(differ, (65536 - for_a) * (self.other[:k] >> 4) >> 12, 0)
+        return a, b, for_a, for_b
+
+    def learn(self, ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        k = len(ids)
+        for e, t, s, own, sure in zip(self.expected, self.trust, self.slots, self.named, self.sure):
+            right = own == ids
+            sure = np.where(right, sure + (65535 - sure >> 2), sure >> 1)
+            new = sure < DOUBT
+            e[s] = np.where(new & ~right, ids, own)
+            t[s] = np.where(new, DOUBT, sure)
+        hit = ids == a
+        err = ((hit.astype(np.int32) << 12) - self.mixed) * 6
+        for x, w in zip(self.inputs, self.weights):
+            w[:k] += (x * err + 0x8000) >> 16
+        rate, other = self.rate[:k], self.other[:k]
+        rate += np.where(hit, 65535 - rate, -rate) >> 5
+        open_ = ~hit & (a != b)
+        other += np.where(open_, np.where(ids == b, 61440 - other, 256 - other) >> 5, 0)
+
+    def narrow(self, at, start: np.ndarray, count: np.ndarray, bits: int) -> None:
+        part = self.range[at] >> np.uint64(bits)
+        self.low[at] += part * start
+        self.range[at] = part * count
+
+    def ready(self, k: int):
+        """Lanes whose next word is settled, and the word; they are shifted by it."""
+        low, span = self.low[:k], self.range[:k]
+        settled = (low ^ (low + span)) < WORD
+        at = np.flatnonzero(settled | (span < LEAST))
+        while len(at):
+            low, span = self.low[at], self.range[at]
+            cut = (low ^ (low + span)) >= WORD
+            # a range that a carry could still reach ends before it
+            span = np.where(cut, (~low + np.uint64(1)) & (LEAST - np.uint64(1)), span)
+            yield at, low >> np.uint64(48)
+            low, span = low << np.uint64(16), span << np.uint64(16)
+            self.low[at], self.range[at] = low, span
+            at = at[((low ^ (low + span)) < WORD) | (span < LEAST)]
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
@@ -87,33 +136,27 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     ids = np.zeros((longest, n), np.int64)
     for j, b in enumerate(blocks):
         ids[: len(b), j] = b
-    lanes, out, used = _Lanes(n), np.zeros((n, longest * 4 + 16), np.uint8), np.zeros(n, np.int64)
-    number = np.arange(n)
-
-    def shift(k: int) -> None:
-        while True:
-            ready = np.flatnonzero((lanes.low[:k] ^ lanes.high[:k]) < 0x1000000)
-            if not len(ready):
-                return
-            out[number[ready], used[ready]] = lanes.high[ready] >> 24
-            used[ready] += 1
-            lanes.low[ready] = lanes.low[ready] << 8 & 0xFFFFFFFF
-            lanes.high[ready] = (lanes.high[ready] << 8 & 0xFFFFFFFF) | 255
-
+    lanes, out, used = _Lanes(n), np.zeros((n, longest * 3 + 8), np.dtype(">u2")), np.zeros(n, np.int64)
     one = two = np.zeros(n, np.int64)
     for t in range(longest):
         k = int(np.searchsorted(-lengths, -t, "left"))
-        own, node = ids[t, :k], np.ones(k, np.int64)
-        ctx = (one[:k] * 0x10DCD + 77 << 17, (one[:k] * 0x2545F + two[:k] * 0x9E37 + 13) << 18)
-        for s in range(ID_BITS - 1, -1, -1):
-            bits = lanes.bit(k, node, ctx, lambda middle: own >> s & 1)
-            shift(k)
-            node = node << 1 | bits
+        own = ids[t, :k]
+        a, b, for_a, for_b = lanes.predict(one[:k], two[:k])
+        is_a, is_b = own == a, (own == b) & (for_b > 0)
+        start = np.where(is_a, 0, np.where(is_b, for_a, for_a + for_b))
+        count = np.where(is_a, for_a, np.where(is_b, for_b, 65536 - for_a - for_b))
+        lanes.narrow(slice(0, k), start.astype(np.uint64), count.astype(np.uint64), 16)
+        rest = np.flatnonzero(~(is_a | is_b))
+        left = own[rest]
+        lanes.narrow(rest, PRIOR[left], PRIOR[left + 1] - PRIOR[left], PRIOR_BITS)
+        for at, word in lanes.ready(k):
+            out[at, used[at]] = word
+            used[at] += 1
+        lanes.learn(own, a, b)
         one, two = own, one[:k]
     payloads = []
     for j, b in enumerate(blocks):
-        tail = int(lanes.low[j] + 1 if lanes.low[j] < lanes.high[j] else lanes.low[j])
-        body = out[j, : used[j]].tobytes() + struct.pack(">I", tail & 0xFFFFFFFF)
+        body = out[j, : used[j]].tobytes() + struct.pack(">Q", int(lanes.low[j]))
         payloads.append(MAGIC + struct.pack("<II", len(b), zlib.crc32(b.astype("<u4").tobytes())) + body)
     return payloads
 
@@ -126,35 +169,33 @@ def decode_blocks(payloads: list[bytes]) -> list[np.ndarray]:
     order = sorted(range(len(payloads)), key=lambda j: -heads[j][0])
     lengths = np.array([heads[j][0] for j in order], np.int64)
     n, longest = len(order), int(lengths.max(initial=0))
-    size = max((len(payloads[j]) for j in order), default=0) + 8
-    data = np.zeros((n, size), np.uint8)
+    size = max((len(payloads[j]) for j in order), default=0) // 2 + 8
+    data = np.zeros((n, size), np.uint64)
     for row, j in enumerate(order):
-        body = np.frombuffer(payloads[j], np.uint8)[12:]
+        body = np.frombuffer(payloads[j], np.dtype(">u2"), (len(payloads[j]) - 12) // 2, 12)
         data[row, : len(body)] = body
-    lanes, at, number = _Lanes(n), np.full(n, 4, np.int64), np.arange(n)
-    code = data[:, 0].astype(np.int64) << 24 | data[:, 1].astype(np.int64) << 16 | data[:, 2].astype(np.int64) << 8 | data[:, 3]
+    lanes, at = _Lanes(n), np.full(n, 4, np.int64)
+    code = data[:, 0] << np.uint64(48) | data[:, 1] << np.uint64(32) | data[:, 2] << np.uint64(16) | data[:, 3]
     ids = np.zeros((longest, n), np.int64)
-
-    def shift(k: int) -> None:
-        while True:
-            ready = np.flatnonzero((lanes.low[:k] ^ lanes.high[:k]) < 0x1000000)
-            if not len(ready):
-                return
-            lanes.low[ready] = lanes.low[ready] << 8 & 0xFFFFFFFF
-            lanes.high[ready] = (lanes.high[ready] << 8 & 0xFFFFFFFF) | 255
-            code[ready] = (code[ready] << 8 & 0xFFFFFFFF) | data[number[ready], np.minimum(at[ready], size - 1)]
-            at[ready] += 1
-
     one = two = np.zeros(n, np.int64)
     for t in range(longest):
         k = int(np.searchsorted(-lengths, -t, "left"))
-        node = np.ones(k, np.int64)
-        ctx = (one[:k] * 0x10DCD + 77 << 17, (one[:k] * 0x2545F + two[:k] * 0x9E37 + 13) << 18)
-        for _ in range(ID_BITS):
-            bits = lanes.bit(k, node, ctx, lambda middle: (code[:k] <= middle).astype(np.int64))
-            shift(k)
-            node = node << 1 | bits
-        own = node - (1 << ID_BITS)
+        a, b, for_a, for_b = lanes.predict(one[:k], two[:k])
+        place = np.minimum((code[:k] - lanes.low[:k]) // (lanes.range[:k] >> np.uint64(16)), 65535).astype(np.int64)
+        is_a = place < for_a
+        is_b = ~is_a & (place < for_a + for_b)
+        start = np.where(is_a, 0, np.where(is_b, for_a, for_a + for_b))
+        count = np.where(is_a, for_a, np.where(is_b, for_b, 65536 - for_a - for_b))
+        lanes.narrow(slice(0, k), start.astype(np.uint64), count.astype(np.uint64), 16)
+        own = np.where(is_a, a, b).astype(np.int64)
+        rest = np.flatnonzero(~(is_a | is_b))
+        place = np.minimum((code[rest] - lanes.low[rest]) // (lanes.range[rest] >> np.uint64(PRIOR_BITS)), (1 << PRIOR_BITS) - 1)
+        own[rest] = left = np.searchsorted(PRIOR, place.astype(np.uint64), "right") - 1
+        lanes.narrow(rest, PRIOR[left], PRIOR[left + 1] - PRIOR[left], PRIOR_BITS)
+        for moved, _ in lanes.ready(k):
+            code[moved] = code[moved] << np.uint64(16) | data[moved, np.minimum(at[moved], size - 1)]
+            at[moved] += 1
+        lanes.learn(own, a, b)
         ids[t, :k] = own
         one, two = own, one[:k]
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * n
@@ -170,6 +211,8 @@ class WordTokens:
     """Ids of whole texts by the public tokenizers library, which is asked once for each distinct word."""
 
     def __init__(self, path: str):
+        # tasks already run side by side
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -177,32 +220,40 @@ class WordTokens:
         self.tokenizer.no_padding()
         self.words = regex.compile(WORDS)
         added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.added = {text: [i] for text, i in added.items()}
+        self.added = {text: np.array([i], "<u4").tobytes() for text, i in added.items()}
         self.specials = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
-        self.known: dict[str, list[int]] = {}
+        #: The ids of each word as bytes
+        self.known: dict[str, bytes] = {}
 
     def _words(self, text: str) -> list[str]:
         if not text.isascii():
             text = self.tokenizer.normalizer.normalize_str(text)
         return self.words.findall(text.lower() if text.isascii() else text)
 
-    def ids(self, text: str | None) -> list[int]:
-        known, out = self.known, []
-        for piece in self.specials.split(text or "") if self.specials and "<|" in (text or "") else [text or ""]:
-            if piece in self.added:
-                out += self.added[piece]
-                continue
-            words = self._words(piece)
-            new = list({w for w in words if w not in known})
-            if new:
-                if len(known) > KNOWN_WORDS:
-                    known.clear()
-                    new = list(set(words))
-                for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                    known[w] = e.ids
-            for w in words:
-                out += known[w]
-        return out
+    def _learn(self, words: set[str]) -> None:
+        new = list(words.difference(self.known))
+        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else []):
+            self.known[w] = np.array(e.ids, "<u4").tobytes()
+
+    def _slice(self, texts: list[str]) -> Iterator[np.ndarray]:
+        pieces = [[p if p in self.added else self._words(p) for p in (self.specials.split(t) if self.specials and "<|" in t else [t])] for t in texts]
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+        self._learn({w for text in pieces for p in text if not isinstance(p, str) for w in p})
+        get = self.known.__getitem__
+        for text in pieces:
+            yield np.frombuffer(b"".join(self.added[p] if isinstance(p, str) else b"".join(map(get, p)) for p in text), "<u4")
+
+    def ids(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text; the library is asked once for the new words of many texts."""
+        part, chars = [], 0
+        for text in texts:
+            part.append(text or "")
+            chars += len(part[-1])
+            if chars >= SLICE_CHARS:
+                yield from self._slice(part)
+                part, chars = [], 0
+        yield from self._slice(part)
 
 
 @lru_cache(maxsize=2)
@@ -239,9 +290,8 @@ def write(docs: DataFrame, path: str | None = None, end: int = END) -> DataFrame
         for rows in frames:
             part = int(rows["part"].iloc[0]) if len(rows) else part
             counts = []
-            for text in rows["text"]:
-                ids = tokens.ids(text)
-                held.append(np.array([*ids, end], np.uint32))
+            for ids in tokens.ids(rows["text"]):
+                held.append(np.append(ids, np.uint32(end)))
                 counts.append(len(ids) + 1)
                 size += len(ids) + 1
                 if size >= BLOCK_IDS * LANES:

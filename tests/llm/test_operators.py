@@ -272,6 +272,19 @@ def test_empty_tables_and_repeated_rows(spark, run):
     assert len({str(r) for r in got if r["doc_id"] == 1 and "slot" not in r}) <= 1
 
 
+def test_ids_are_coded_whole(monkeypatch):
+    steps, predict = [], token_file._Lanes.predict
+    monkeypatch.setattr(token_file._Lanes, "predict", lambda self, *a: steps.append(1) or predict(self, *a))
+    draw, most = np.random.default_rng(3), (1 << token_file.ID_BITS) - 1
+    blocks = [draw.integers(0, most + 1, 4000), np.full(3000, most), np.arange(2500) % 3, draw.zipf(1.3, 2000) % 5000, np.array([most, 0, most]), np.zeros(1, int), np.zeros(0, int)]
+    payloads = token_file.encode_blocks([b.astype(np.uint32) for b in blocks])
+    # one step an id, each way, where there were 16
+    assert len(steps) == 4000
+    assert all((x == y).all() and len(x) == len(y) for x, y in zip(blocks, token_file.decode_blocks(payloads[::-1])[::-1]))
+    assert len(steps) == 8000 and len(payloads[1]) < 400
+    assert token_file.PRIOR[-1] == 1 << token_file.PRIOR_BITS and (token_file.PRIOR[1:] > token_file.PRIOR[:-1]).all()
+
+
 def test_token_blocks_are_checked():
     ids = np.arange(300, dtype=np.uint32) % 7
     (payload,) = token_file.encode_blocks([ids])
