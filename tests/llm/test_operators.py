@@ -295,6 +295,50 @@ def test_token_blocks_are_checked():
     assert token_file.encode_blocks([]) == []
 
 
+def test_lanes_of_a_block_share_its_tables(monkeypatch):
+    steps, predict = [], token_file._Lanes.predict
+    monkeypatch.setattr(token_file._Lanes, "predict", lambda self, *a: steps.append(1) or predict(self, *a))
+    draw = np.random.default_rng(4)
+    blocks = [(draw.zipf(1.2, n) % 50_000).astype(np.uint32) for n in (40_000, 1, 0, 33, 4097)] + [np.tile(np.arange(37, dtype=np.uint32) * 997, 1000)]
+    payloads = token_file.encode_blocks(blocks, 100)
+    assert len(steps) == 100
+    # each block can be read alone, and beside others
+    assert all((x == token_file.decode_blocks([p])[0]).all() for x, p in zip(blocks, payloads))
+    assert all((x == y).all() and len(x) == len(y) for x, y in zip(blocks, token_file.decode_blocks(payloads[::-1])[::-1]))
+    # what one lane has seen, all expect
+    assert 2 * len(payloads[-1]) < sum(map(len, token_file.encode_blocks(np.split(blocks[-1], 370))))
+    for broken in (payloads[0][:-2], payloads[0][:12], b"QTB2" + payloads[0][4:], payloads[0][:12] + bytes(4) + payloads[0][16:]):
+        with pytest.raises(ValueError):
+            token_file.decode_blocks([broken])
+
+
+def test_words_cut_as_arrays_are_the_library_s(monkeypatch):
+    tokens = token_file.WordTokens(token_file.default_path())
+    r = random.Random(11)
+    signs = [*"aZsStTrReEvVlLmMdD'\u2019\"<|>=,.- \n\t\x0b\x0c\r\x1c\x1f\x00\x7f\x8509", *"\u00b2\u00bd\u00f1\u00e9\u00c9\u00df\u0178\u00c0\u00d7\u00f7\u0153\u201c\u2014\u0338\u0301\u0345\u00a0\u3000\u03a3\u0130\u0131\u017f\u212a\u2126\u65e5\ud55c\u0627\U0001f600\u200d", "<|endoftext|>", "<|ENDOFTEXT|>", "'re", "'LL", "abcdefghijklmnop", "\u00e9\u00c9"]
+    texts = ["", None, "don't'S'sure 'x", "n\u00e9,\u2014's", "a" * 40, "1<\u0338", "long text, on it's \u00e9" * 900, "x " * 6000, "y" * 9000, ""]
+    for _ in range(12):
+        some = r.sample(signs, 7)
+        texts += ["".join(r.choices(some if k % 2 else signs, k=r.randint(0, 30))) for k in range(200)]
+    want = [[*e.ids, 1] for e in tokens.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+    # a table that has to grow, and words that are forgotten between slices, change nothing
+    for slots, words in ((token_file.SLOT_BITS, token_file.KNOWN_WORDS), (3, 50)):
+        monkeypatch.setattr(token_file, "SLOT_BITS", slots)
+        monkeypatch.setattr(token_file, "KNOWN_WORDS", words)
+        monkeypatch.setattr(token_file, "SLICE_CHARS", 2000)
+        tokens._forget()
+        parts = list(tokens.ids(texts, 1))
+        counts = np.concatenate([c for _, c in parts])
+        got = np.split(np.concatenate([i for i, _ in parts]), np.cumsum(counts)[:-1])
+        assert [x.tolist() for x in got] == want and len(parts) > 5
+    # the library is asked for many words at once
+    asked = []
+    monkeypatch.setattr(tokens, "_learn", lambda texts, learn=tokens._learn: asked.extend(texts) or learn(texts))
+    tokens._forget()
+    assert sum(c.sum() for _, c in tokens.ids(["The cat don't sit, se\u00f1or 12."] * 500, 1)) == 500 * len(tokens.tokenizer.encode("The cat don't sit, se\u00f1or 12.", add_special_tokens=False).ids) + 500
+    assert not asked
+
+
 def test_toxicity_learns_and_holds_out(spark):
     r = random.Random(2)
     texts = [" ".join(r.choices(WORDS, k=30)) + (" you horrible idiotic fool" if k % 5 == 0 else "") for k in range(400)] + [None, ""]
